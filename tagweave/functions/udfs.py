@@ -1,0 +1,79 @@
+"""The two per-row Python helpers (H2, H13), as Arrow-batched pandas UDFs.
+
+Both short-circuit on the cheap test (no ``&`` / no backslash) inside the
+batch, so the Python work is proportional to the rows that need it.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+@F.pandas_udf(StringType())
+def html_unescape(s: pd.Series) -> pd.Series:
+    """H2: HTML5 entity decoding (named, decimal and hex references)."""
+    mask = s.notna() & s.str.contains("&", regex=False)
+    if not mask.any():
+        return s
+    out = s.copy()
+    out[mask] = s[mask].map(html.unescape)
+    return out
+
+
+_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{2})")
+
+
+def _decode_one(text: str) -> str:
+    def rep(m):
+        try:
+            return chr(int(m.group(1)[1:], 16))
+        except ValueError:
+            return m.group(0)
+    return _ESCAPE.sub(rep, text)
+
+
+@F.pandas_udf(StringType())
+def decode_escapes(s: pd.Series) -> pd.Series:
+    """Decode ``\\uXXXX``, ``\\UXXXXXXXX`` and ``\\xNN`` escapes only.
+
+    Unlike a blanket ``unicode-escape`` decode of UTF-8 bytes this leaves
+    non-ASCII text intact.
+    """
+    mask = s.notna() & s.str.contains("\\", regex=False)
+    if not mask.any():
+        return s
+    out = s.copy()
+    out[mask] = s[mask].map(_decode_one)
+    return out
+
+
+# The XML/HTML entities the SQL form decodes (``&amp;`` last,
+# so ``&amp;lt;`` becomes ``&lt;`` as with a single-pass decoder).
+SQL_ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
+]
+
+
+def unescape_entities_jvm(col) -> Column:
+    """JVM-only decoding of the common entities (no Python round trip).
+
+    Exact only for texts whose entities are all in ``SQL_ENTITIES``; the
+    pandas UDF is the general form.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    for ent, ch in SQL_ENTITIES:
+        c = F.replace(c, F.lit(ent), F.lit(ch))
+    return c
+
+
+def sql_unescape_entities(x: str) -> str:
+    for ent, ch in SQL_ENTITIES:
+        x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return x
