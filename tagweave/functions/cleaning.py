@@ -135,10 +135,12 @@ def sql_normalise_whitespace(x: str) -> str:
 
 def sql_reduce_lengthening(x: str) -> str:
     # RE2 has no back-references: drop every character equal to the two
-    # before it.  Works on the space-normalised string (no runs of spaces).
-    return ("array_to_string(list_transform(range(1, length({x}) + 1), lambda i: "
-            "CASE WHEN i > 2 AND {x}[i] = {x}[i - 1] AND {x}[i] = {x}[i - 2] "
-            "AND {x}[i] <> ' ' THEN '' ELSE {x}[i] END), '')").format(x=x)
+    # before it.  Works on the space-normalised string (no runs of spaces);
+    # the text is split into a character list once so indexing is O(1).
+    ch = f"string_split({x}, '')"
+    return ("(SELECT array_to_string(list_transform(range(1, len(ch) + 1), lambda i: "
+            "CASE WHEN i > 2 AND ch[i] = ch[i - 1] AND ch[i] = ch[i - 2] AND ch[i] <> ' ' "
+            "THEN '' ELSE ch[i] END), '') FROM (SELECT " + ch + " AS ch))")
 
 
 def sql_strip_backslash(x: str) -> str:

@@ -128,7 +128,7 @@ def balance_classes(df: DataFrame, label: str = "label", id_col: str = "doc_id",
     items = []
     for k, v in cuts.items():
         items += [F.lit(k), F.lit(v)]
-    cut = F.element_at(F.create_map(*items), F.col(label))
+    cut = F.try_element_at(F.create_map(*items), F.col(label))
     below = keyed.where(F.col("_sk") < cut)
     # rows sharing the cut key (normally exactly one per class): rank them
     # by id inside that tiny set to honour ties exactly
@@ -141,5 +141,5 @@ def balance_classes(df: DataFrame, label: str = "label", id_col: str = "doc_id",
     from pyspark.sql import Window
     w = Window.partitionBy(label).orderBy(id_col)
     at_cut = (at_cut.withColumn("_r", F.row_number().over(w))
-              .where(F.col("_r") <= F.element_at(F.create_map(*items), F.col(label))).drop("_r"))
+              .where(F.col("_r") <= F.try_element_at(F.create_map(*items), F.col(label))).drop("_r"))
     return below.unionByName(at_cut).drop("_sk")

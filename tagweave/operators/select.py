@@ -37,7 +37,7 @@ def kth_smallest(df: DataFrame, value: str, k, group: str | None = None,
     Returns dict group -> value (key ``None`` when ungrouped); groups whose
     rank exceeds their size are omitted.
     """
-    g = F.col(group) if group else F.lit(None).cast("string")
+    g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     base = df.select(g.alias("_g"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     stats = base.groupBy("_g").agg(F.count("*").alias("n"), F.min("_v").alias("lo"),
                                    F.max("_v").alias("hi")).collect()
@@ -79,9 +79,9 @@ def kth_smallest(df: DataFrame, value: str, k, group: str | None = None,
         hi_m = _map_lit({("" if gk is None else gk): s[1] for gk, s in state.items()})
         lo_raw = _map_lit({("" if gk is None else gk): s[0] for gk, s in state.items()})
         gkey = F.coalesce(F.col("_g").cast("string"), F.lit(""))
-        inrange = (F.col("_v") >= F.element_at(lo_raw, gkey)) & (F.col("_v") <= F.element_at(hi_m, gkey))
+        inrange = (F.col("_v") >= F.try_element_at(lo_raw, gkey)) & (F.col("_v") <= F.try_element_at(hi_m, gkey))
         bucket = F.least(F.lit(buckets - 1), F.floor(
-            (F.col("_v").cast("double") - F.element_at(lo_m, gkey)) / F.element_at(w_m, gkey) * buckets
+            (F.col("_v").cast("double") - F.try_element_at(lo_m, gkey)) / F.try_element_at(w_m, gkey) * buckets
         ).cast("long"))
         keep = gkey.isin([("" if gk is None else gk) for gk in state])
         hist = (base.where(keep).where(inrange).groupBy("_g", bucket.alias("_b"))
@@ -118,5 +118,5 @@ def global_index(df: DataFrame, order_cols: list, index_col: str = "idx",
         acc += counts[pid]
     off = _map_lit({int(p): int(o) for p, o in offsets.items()}) if offsets else F.create_map().cast("map<int,bigint>")
     pos_in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (fixed.withColumn(index_col, F.element_at(off, F.col("_pid")) + pos_in_part)
+    return (fixed.withColumn(index_col, F.try_element_at(off, F.col("_pid")) + pos_in_part)
             .drop("_pid", "_mid"))
