@@ -24,6 +24,12 @@ REPORT_LABELS = ["neutral", "positive", "negative"]
 # many weightings at once
 # ---------------------------------------------------------------------------
 
+def _weighted_sum(w: dict):
+    """Merge function sum(cnt * weight(grp)) for ``F.aggregate`` (a factory:
+    PySpark would take a defaulted lambda argument for a lambda variable)."""
+    return lambda acc, t: acc + t["cnt"] * weight_of(t["grp"], w)
+
+
 def grid_values(docs: DataFrame, combos: list, terms: str = "terms") -> DataFrame:
     """POS-weighted L1 values of every (doc, term) pair under every weighting:
     ``combo_id, doc_id, label, split, word, grp, value``.  Per-document totals
@@ -31,7 +37,7 @@ def grid_values(docs: DataFrame, combos: list, terms: str = "terms") -> DataFram
     if len(combos) > 64:
         raise ValueError("pass at most 64 weightings per call")
     d = L.with_counts(docs, terms)
-    totals = F.array(*[F.aggregate("counts", F.lit(0.0), lambda acc, t, w=w: acc + t["cnt"] * weight_of(t["grp"], w))
+    totals = F.array(*[F.aggregate("counts", F.lit(0.0), _weighted_sum(w))
                        for w in combos])
     d = d.withColumn("_tot", totals)
     ex = L.explode_rows(d, ["doc_id", "label", "split", "_tot"], "counts")

@@ -34,6 +34,12 @@ MAX_CLASSES = 1000
 # per-document, in-row
 # --------------------------------------------------------------------------
 
+def _weighted_sum(w: dict):
+    """Merge function sum(cnt * weight(grp)) for ``F.aggregate`` (a factory:
+    PySpark would take a defaulted lambda argument for a lambda variable)."""
+    return lambda acc, t: acc + t["cnt"] * weight_of(t["grp"], w)
+
+
 def with_counts(docs: DataFrame, terms: str = "terms", out: str = "counts") -> DataFrame:
     """D5 in-row: ``ARRAY<STRUCT<word, grp>>`` -> ``ARRAY<STRUCT<word, grp, cnt>>``
     (one entry per distinct term, sorted): sort the array, find where runs of
@@ -248,7 +254,7 @@ def ocfs_grid(docs: DataFrame, combos: list, sizes: dict, terms: str = "terms")
     if len(combos) > 64:
         raise ValueError("pass at most 64 weightings per call")
     d = with_counts(_train(docs, "train"), terms)
-    totals = F.array(*[F.aggregate("counts", F.lit(0.0), lambda acc, t, w=w: acc + t["cnt"] * weight_of(t["grp"], w))
+    totals = F.array(*[F.aggregate("counts", F.lit(0.0), _weighted_sum(w))
                        for w in combos])
     d = d.withColumn("_tot", totals)
     ex = explode_rows(d, ["label", "_tot"], "counts")

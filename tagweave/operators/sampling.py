@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .select import global_index, kth_smallest
+from .select import global_index, kth_smallest, kth_smallest_many
 
 
 def drop_broken(df: DataFrame, text: str = "text") -> DataFrame:
@@ -81,8 +81,8 @@ def split_by_position(df: DataFrame, order: str = "doc_id", train: float = 0.7,
     """
     n = df.count()
     train_end, test_start = split_points(n, train, test)
-    c1 = _cut_below(df, order, train_end, n)
-    c2 = _cut_below(df, order, test_start, n)
+    # value at 0-based position p is the (p + 1)-th smallest
+    _, (c1, c2) = kth_smallest_many(df, order, [train_end + 1, test_start + 1])
     o = F.col(order)
     is_train = F.lit(True) if c1 is None else o < F.lit(c1)
     is_dev = F.lit(True) if c2 is None else o < F.lit(c2)

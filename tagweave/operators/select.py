@@ -101,6 +101,23 @@ def kth_smallest(df: DataFrame, value: str, k, group: str | None = None,
     return result
 
 
+def kth_smallest_many(df: DataFrame, value: str, ranks: list, max_collect: int = 50_000) -> tuple[int, list]:
+    """Several exact order statistics of one column (1-based ranks) and the
+    non-null count.  Small inputs cost one stats scan and one collect of the
+    single column; larger ones fall back to ``kth_smallest`` per rank."""
+    base = df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    n = base.count()
+    want = [r for r in ranks if 1 <= r <= n]
+    if not want:
+        return n, [None] * len(ranks)
+    if n <= max_collect:
+        vals = sorted(r[0] for r in base.collect())
+        got = {r: vals[r - 1] for r in want}
+    else:
+        got = {r: kth_smallest(df, value, r)[None] for r in want}
+    return n, [got.get(r) for r in ranks]
+
+
 def global_index(df: DataFrame, order_cols: list, index_col: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based position in ``order_cols`` order (ties broken by the
