@@ -122,6 +122,29 @@ def class_sizes_cte() -> str:
 )"""
 
 
+CLASSES = ["negative", "neutral", "positive"]
+
+
+def ocfs_score_sql(classes=CLASSES, sizes: str = "class_sizes") -> str:
+    """The OCFS score of one pivoted row (columns s0, s1, ...: exact class
+    sums), evaluated in the same fixed order as the Spark expression, so tied
+    features get bit-equal scores in both engines."""
+    n_c = [f"(SELECT n_c FROM {sizes} WHERE label = {q(c)})" for c in classes]
+    n = f"(SELECT max(n) FROM {sizes})"
+    m = "(" + "(0.0::DOUBLE" + "".join(f" + s{i}" for i in range(len(classes))) + ")" * 1 + f" / {n})"
+    expr = "0.0::DOUBLE"
+    for i in range(len(classes)):
+        d = f"(s{i} / {n_c[i]} - {m})"
+        expr = f"({expr} + ((1000.0::DOUBLE * ({n_c[i]} / {n})) * {d}) * {d})"
+    return expr
+
+
+def pivot_sql(src: str, keys: str, classes=CLASSES) -> str:
+    cols = ", ".join(f"coalesce(sum(value::DECIMAL(38,18)) FILTER (WHERE label = {q(c)}), 0)::DOUBLE AS s{i}"
+                     for i, c in enumerate(classes))
+    return f"SELECT {keys}, {cols} FROM {src} WHERE split = 'train' GROUP BY {keys}"
+
+
 def ocfs_cte(src: str = "weighted", keys: str = "word, grp") -> str:
     """Per feature: sum over every training class (present or not) of
     1000 * (n_c / n) * (class mean - corpus mean)^2; class sums in exact
@@ -136,13 +159,8 @@ feat AS (
 grid AS (
   SELECT f.*, c.label, c.n_c, c.n FROM feat f, class_sizes c
 ),
-ocfs AS (
-  SELECT {', '.join('g.' + k.strip() for k in keys.split(','))},
-         sum(1000.0 * (g.n_c / g.n) * power(coalesce(cs.s, 0)::DOUBLE / g.n_c - g.s_all / g.n, 2)) AS score
-  FROM grid g LEFT JOIN class_sums cs
-    ON {' AND '.join(f'cs.{k.strip()} = g.{k.strip()}' for k in keys.split(','))} AND cs.label = g.label
-  GROUP BY {', '.join('g.' + k.strip() for k in keys.split(','))}
-)"""
+pivoted AS ({pivot_sql(src, keys)}),
+ocfs AS (SELECT {keys}, {ocfs_score_sql()} AS score FROM pivoted)"""
 
 
 def percentile_cte(src: str, col: str, rank_pct_expr: str) -> str:

@@ -282,11 +282,8 @@ csum{t} AS (
 ),
 feat{t} AS (SELECT combo_id, word, grp, sum(s)::DOUBLE AS s_all FROM csum{t} GROUP BY combo_id, word, grp),
 sc{t} AS (
-  SELECT f.combo_id, f.word, f.grp,
-         sum(1000.0 * (z.n_c / z.n) * power(coalesce(cs.s, 0)::DOUBLE / z.n_c - f.s_all / z.n, 2)) AS score
-  FROM feat{t} f CROSS JOIN class_sizes z
-  LEFT JOIN csum{t} cs ON cs.combo_id = f.combo_id AND cs.word = f.word AND cs.grp = f.grp AND cs.label = z.label
-  GROUP BY f.combo_id, f.word, f.grp
+  SELECT combo_id, word, grp, {O.ocfs_score_sql()} AS score
+  FROM ({O.pivot_sql(f"gvals{t}", "combo_id, word, grp")})
 ),
 rk{t} AS (
   SELECT combo_id, score AS v, row_number() OVER (PARTITION BY combo_id ORDER BY score) - 1 AS i,
