@@ -21,6 +21,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _only_if(c: Column, needles, expr: Column) -> Column:
+    """Run a rule only on texts holding one of ``needles`` (a byte search):
+    the rule cannot match elsewhere, so this only skips work."""
+    cond = None
+    for n in needles:
+        t = F.instr(c, n) > 0
+        cond = t if cond is None else cond | t
+    return F.when(cond, expr).otherwise(c)
+
+
 def strip_quotes(col) -> Column:
     """H1: remove single quotes, double quotes and tabs."""
     return F.translate(_c(col), P.STRIPPED_CHARS, "")
@@ -38,22 +48,26 @@ def spaced_commas(col) -> Column:
 
 def replace_grouped_number(col) -> Column:
     """H3: ``1,234.5`` style numbers."""
-    return F.regexp_replace(_c(col), P.J_GROUPED_NUMBER, P.NUMBER_TOKEN)
+    c = _c(col)
+    return _only_if(c, [","], F.regexp_replace(c, P.J_GROUPED_NUMBER, P.NUMBER_TOKEN))
 
 
 def replace_email(col) -> Column:
     """H4: e-mail addresses."""
-    return F.regexp_replace(_c(col), P.J_EMAIL, P.EMAIL_TOKEN)
+    c = _c(col)
+    return _only_if(c, ["@"], F.regexp_replace(c, P.J_EMAIL, P.EMAIL_TOKEN))
 
 
 def replace_mention(col) -> Column:
     """H5: @user mentions, at most 15 name characters are consumed."""
-    return F.regexp_replace(_c(col), P.J_MENTION, P.MENTION_TOKEN)
+    c = _c(col)
+    return _only_if(c, ["@"], F.regexp_replace(c, P.J_MENTION, P.MENTION_TOKEN))
 
 
 def replace_url(col) -> Column:
     """H6: ``http`` followed by non-whitespace."""
-    return F.regexp_replace(_c(col), P.J_URL, P.URL_TOKEN)
+    c = _c(col)
+    return _only_if(c, ["http"], F.regexp_replace(c, P.J_URL, P.URL_TOKEN))
 
 
 def replace_number(col) -> Column:
@@ -63,7 +77,8 @@ def replace_number(col) -> Column:
 
 def drop_lone_punct(col) -> Column:
     """H8: a ':' or '-' between whitespace becomes one space."""
-    return F.regexp_replace(_c(col), P.J_LONE_PUNCT, " ")
+    c = _c(col)
+    return _only_if(c, [":", "-"], F.regexp_replace(c, P.J_LONE_PUNCT, " "))
 
 
 def normalise_whitespace(col) -> Column:
@@ -79,8 +94,9 @@ def reduce_lengthening(col) -> Column:
 def strip_backslash(col) -> Column:
     """Drop a word's leading backslash before a word character and its
     trailing backslash after one."""
-    c = F.regexp_replace(_c(col), P.J_LEAD_BACKSLASH, "")
-    return F.regexp_replace(c, P.J_TRAIL_BACKSLASH, "")
+    c = _c(col)
+    stripped = F.regexp_replace(F.regexp_replace(c, P.J_LEAD_BACKSLASH, ""), P.J_TRAIL_BACKSLASH, "")
+    return _only_if(c, ["\\"], stripped)
 
 
 def word_corrections(col) -> Column:

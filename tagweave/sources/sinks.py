@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def write_labelled(df: DataFrame, path: str, index: str = "row_index") -> None:
     """Index, label, text; every field quoted."""
     (df.select(F.col(index).cast("string"), "label", "text").write.mode("overwrite")
-     .option("quoteAll", True).option("header", False).csv(path))
+     .option("quoteAll", True).option("escape", "\"").option("header", False).csv(path))
 
 
 def write_text_only(df: DataFrame, path: str, text: str = "text") -> None:
