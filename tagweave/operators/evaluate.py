@@ -47,16 +47,20 @@ def grid_values(docs: DataFrame, combos: list, terms: str = "terms") -> DataFram
                      F.posexplode(vals).alias("combo_id", "value"))
 
 
-def centroid_model(values: DataFrame, sizes: dict, n_delete: int, n_combos: int) -> DataFrame:
-    """Per (combo, feature): OCFS score, kept flag and class means (one
-    ``m_<i>`` column per class, classes sorted).  One aggregation for the
-    sums; the per-combo cut comes from ``kth_smallest`` grouped by combo."""
+def centroid_scores(values: DataFrame, sizes: dict) -> DataFrame:
+    """Per (combo, feature): exact class sums and the OCFS score (one
+    aggregation).  Callers persist it and cut it at several settings."""
     classes = sorted(sizes)
     v = F.col("value").cast(L.EXACT)
     aggs = [F.sum(F.when(F.col("label") == F.lit(c), v)).alias(f"_s{i}") for i, c in enumerate(classes)]
     sums = values.where(F.col("split") == "train").groupBy("combo_id", *L.TERM).agg(*aggs)
-    scored = L.ocfs_from_sums(sums, classes, sizes, ["combo_id"] + L.TERM + [f"_s{i}" for i in range(len(classes))])
-    scored = scored.persist()
+    return L.ocfs_from_sums(sums, classes, sizes, ["combo_id"] + L.TERM + [f"_s{i}" for i in range(len(classes))])
+
+
+def centroid_cut(scored: DataFrame, sizes: dict, n_delete: int) -> DataFrame:
+    """Kept flag and class means per (combo, feature) for one feature-cut
+    setting; the per-combo cut comes from ``kth_smallest`` grouped by combo."""
+    classes = sorted(sizes)
     counts = {r["combo_id"]: r["n"] for r in scored.groupBy("combo_id").agg(F.count("*").alias("n")).collect()}
     cuts = {}
     for cid, p in counts.items():
@@ -79,6 +83,12 @@ def centroid_model(values: DataFrame, sizes: dict, n_delete: int, n_combos: int)
     return scored.select("combo_id", *L.TERM, "score", cut.alias("cut"), (F.col("score") >= cut).alias("kept"), *means)
 
 
+def centroid_model(values: DataFrame, sizes: dict, n_delete: int, n_combos: int) -> DataFrame:
+    """Per (combo, feature): OCFS score, kept flag and class means (one
+    ``m_<i>`` column per class, classes sorted)."""
+    return centroid_cut(centroid_scores(values, sizes).persist(), sizes, n_delete)
+
+
 def centroid_predict(values: DataFrame, docs: DataFrame, model: DataFrame, classes: list,
                      n_combos: int) -> DataFrame:
     """Nearest class centroid over the kept features, per (combo, doc):

@@ -348,8 +348,13 @@ def search_runs(spark, sf_dir):
     lab_map = F.create_map(*lab_items)
     groups_col = F.create_map(*sum([[F.lit(k), F.array(*[F.lit(t) for t in v])] for k, v in GROUPS.items()], []))
     blocks_col = F.create_map(*sum([[F.lit(k), F.lit(float(v))] for k, v in SEARCH_BLOCKS.items()], []))
+    docs = prepared(spark, sf_dir).persist()
+    sizes = L.class_sizes(docs)
+    values = V.grid_values(docs, GRID).persist()
+    scored = V.centroid_scores(values, sizes).persist()   # shared by every cut setting
     for n_del in SEARCH_DELETES:
-        p = centroid_runs(spark, sf_dir, GRID, n_del)
+        model = V.centroid_cut(scored, sizes, n_del)
+        p = V.centroid_predict(values, docs, model, sorted(sizes), len(GRID))
         acc = V.accuracy(p.where(F.col("split") != "dev"), ["combo_id", "split"])
         accs = (acc.groupBy("combo_id")
                 .agg(F.max(F.when(F.col("split") == "train", F.col("accuracy"))).alias("train_acc"),
