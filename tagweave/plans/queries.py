@@ -448,15 +448,24 @@ QUERY_MAX_ITER = 200
 
 
 def _splits(spark, sf_dir, groups=None):
+    """Train and test frames over one cached corpus; callers release the
+    cache (``_release``) once the model is fitted, so a long session does
+    not accumulate corpus copies."""
     d = K.build_corpus(spark, sf_dir, groups or GROUPS).persist()
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 
+def _release(*dfs):
+    for df in dfs:
+        df.unpersist()
+
+
 def q_maxent_predict(spark, sf_dir):
     """Fused BoW .5 + POS .5 model, test-set predictions."""
     from ..operators import models as M
     train, test = _splits(spark, sf_dir)
     model = M.fit_fused(train, WEIGHTS, N_DELETE, FUSED_BLOCKS, max_iter=QUERY_MAX_ITER)
+    _release(train, test)
     return M.predict(model, test)
 
 
@@ -465,6 +474,7 @@ def _baseline_report(kind):
         from ..operators import models as M
         train, test = _splits(spark, sf_dir)
         model = M.baseline(train, kind, max_iter=QUERY_MAX_ITER)
+        _release(train, test)
         return V.classification_report(M.predict(model, test))
     return q
 
@@ -477,6 +487,7 @@ def q_grid_search(spark, sf_dir):
     train, test = _splits(spark, sf_dir, groups)
     rows = M.grid_search(train, test, groups, 2, N_DELETE, {"bow": 0.7, "pos": 0.3}, parallelism=4,
                          max_iter=QUERY_MAX_ITER)
+    _release(train, test)
     return spark.createDataFrame(rows, "combo_id long, weights string, train_acc double, test_acc double, "
                                        "macro_f1 double")
 
@@ -487,6 +498,7 @@ def q_fit_or_load(spark, sf_dir):
     train, test = _splits(spark, sf_dir)
     model = M.fit_or_load(spark, train, WEIGHTS, N_DELETE, FUSED_BLOCKS, 0.7, "plain", "train",
                           max_iter=QUERY_MAX_ITER)
+    _release(train, test)
     return V.confusion(M.predict(model, test))
 
 
