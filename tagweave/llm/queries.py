@@ -21,12 +21,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096, 1)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and bytes of every document."""
+    from tagweave.llm.token_count import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024)
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: four-word shingles, similarity 0.8 or more."""
+    from tagweave.llm.near_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), 4, 80, 100)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document through byte-level BPE."""
     from tagweave.llm.bpe_codec import round_trip_digests
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op9_near_dedup, op10_bpe_codec)}
 
 ORACLES: dict[str, str] = {}
