@@ -27,6 +27,36 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    from tagweave.llm.license_scan import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    from tagweave.llm.language_id import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document by fences per language and source."""
+    from tagweave.llm.quality import assess
+    return assess(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document, of its edited text, and likeness to that and the next document."""
+    from tagweave.llm.fingerprint import compare_with_next
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    from tagweave.llm.secret_scan import scan_digests
+    return scan_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: four-word shingles, similarity 0.8 or more."""
     from tagweave.llm.near_dedup import near_duplicates
@@ -39,6 +69,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op9_near_dedup, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_license_scan, op5_language_id, op6_quality_rules,
+                                   op7_fingerprints, op8_secret_scan, op9_near_dedup, op10_bpe_codec)}
 
 ORACLES: dict[str, str] = {}

@@ -187,7 +187,7 @@ def scan_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every whole text."""
     found = scan(docs)
     base = F.filter("spans", lambda s: s["kind"] != "guess")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"),
                         _joined(F.col("spans")).alias("spans"))
 
