@@ -21,6 +21,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096, 1)
 
 
+#: Fixed rules of the URL query.
+URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by rule or learned template.
+
+    In these tables a page's path ends with the number of the document it shows; the labels of
+    that document (bad: toxic or of low quality) are the page's.
+    """
+    from pyspark.sql import functions as F
+
+    from tagweave.llm.url_filter import Rule, judge_urls, path_of
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:\.html)?/?$", 1)
+    labels = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
+    labels = labels.join(bad, "doc_id").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    return judge_urls(pages, [Rule.parse(r) for r in URL_RULES], labels)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and bytes of every document."""
     from tagweave.llm.token_count import count_tokens
@@ -69,7 +90,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_license_scan, op5_language_id, op6_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_license_scan, op5_language_id, op6_quality_rules,
                                    op7_fingerprints, op8_secret_scan, op9_near_dedup, op10_bpe_codec)}
 
 ORACLES: dict[str, str] = {}
