@@ -31,98 +31,61 @@ GROUP_ROWS = 20_000
 #: Marks that often close a word and are a token run of their own after a letter.
 CLOSING = (".", ",", ";", ":", "!", "?")
 
+#: Packs n ids, for n up to twice a word's letters (a Latin-1 letter is two bytes at most).
+PACK = [struct.Struct(f"<{n}I").pack for n in range(256)]
+
 PIECE_DDL = "piece int, start long, length long, ids_crc32 long"
 
 
-class SpacedTokenizer:
-    """Ids by a ``tokenizers`` file whose tokenizer drops white space.
+class SpacedTokenizer(dict):
+    """Ids by a ``tokenizers`` file of a byte-level, lower-casing tokenizer that drops white space.
 
     No token of such a tokenizer spans a space or line end, so a text's ids are those of its
-    space-free pieces in order; each distinct piece is encoded by the library once and kept in
-    a bounded cache.  The byte-level word form (letters lower-cased, white space dropped) is
-    what ``_stem`` and the direct call of the merge model rely on.
+    space-free pieces in order.  The mapping itself is the cache: piece -> little-endian uint32
+    ids, made by the library when a piece is first met; ``room`` bounds it.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        marks = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()
-                 if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word]
-        self.mark, self.mark_id = marks[0] if marks else (None, None)
-        self.model = self.tokenizer.model
+        self.merge = self.tokenizer.model.tokenize
         self.stand_in = {b: c for c, b in byte_alphabet().items()}
         self.entries = entries
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _learn(self, pieces: list[str]) -> None:
-        def raw(s):
-            return np.asarray(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4")
-        if len(self.cache) > self.entries:
-            self.cache = {"": b""}
-        stem_of = {p: self._stem(p) for p in pieces}
-        need = {s for stem in stem_of.values() for s in stem} - self.cache.keys()
-        plain = []
-        for p in need:
-            if p in CLOSING or len(p) < 200 and p.isalpha() and p.islower() and max(p) <= "\xff":
-                # One pre-split word: only the merges are left to do.
-                word = p if p.isascii() else "".join(map(self.stand_in.__getitem__, p.encode()))
-                ids = [t.id for t in self.model.tokenize(word)]
-                self.cache[p] = struct.pack(f"<{len(ids)}I", *ids)
-            elif self.mark is None or self.mark in p:
-                self.cache[p] = raw(p).tobytes()
+        self.closing = {c: self._raw(c) for c in CLOSING}
+        self[""] = b""
+
+    def _raw(self, piece: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        # A word of Latin-1 letters (one-to-one lower case, nothing to compose) is one pre-split
+        # word, so only its merges are left to do; a closing mark after it is a word of its own.
+        end = self.closing.get(piece[-1], b"")
+        word = piece[:-1] if end else piece
+        if word.isalpha() and 2 * len(word) < len(PACK):
+            low = word.lower()
+            if low.isascii():
+                ids = [t.id for t in self.merge(low)]
+            elif max(word) <= "\xff":
+                ids = [t.id for t in self.merge("".join(map(self.stand_in.__getitem__, low.encode())))]
             else:
-                plain.append(p)
-        for i in range(0, len(plain), 2000):
-            # The library cuts special strings out before anything else: between two marks
-            # stand the ids of one piece alone.
-            group = plain[i:i + 2000]
-            ids = raw(self.mark.join(group))
-            cut = np.flatnonzero(ids == self.mark_id)
-            starts = (4 * np.concatenate([[0], cut + 1])).tolist()
-            ends = (4 * np.concatenate([cut, [len(ids)]])).tolist()
-            whole = ids.tobytes()
-            self.cache.update(zip(group, [whole[a:b] for a, b in zip(starts, ends)]))
-        for p, stem in stem_of.items():
-            if p not in need:
-                self.cache[p] = b"".join([self.cache[s] for s in stem])
-
-    @staticmethod
-    def _stem(piece: str) -> tuple[str, ...]:
-        """Parts whose ids make up the piece's: a lower-cased word and one closing mark.
-
-        Only where that is plainly the same: a word of Latin-1 letters (one-to-one lower
-        case, nothing to compose), the mark standing alone after it.
-        """
-        word = piece[:-1] if piece[-1:] in CLOSING else piece
-        if word.isalpha() and (word.isascii() or word <= "\xff" and max(word) <= "\xff"):
-            return (word.lower(),) if word is piece else (word.lower(), piece[-1])
-        return (piece,)
+                ids = None
+            if ids is not None:
+                got = self[piece] = PACK[len(ids)](*ids) + end
+                return got
+        got = self[piece] = self._raw(piece)
+        return got
+
+    def room(self) -> None:
+        if len(self) > self.entries:
+            self.clear()
+            self[""] = b""
 
     def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        get = self.cache.__getitem__
-        try:
-            return b"".join(map(get, pieces))
-        except KeyError:
-            self._learn(list(set(pieces) - self.cache.keys()))
-            if len(self.cache) > self.entries:
-                self._learn(list(set(pieces)))
-            return b"".join([self.cache[p] for p in pieces])
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*cut) if cut else set()
-        missing = need - self.cache.keys()
-        if len(self.cache) + len(missing) > 2 * self.entries:
-            return [self.encode(t) for t in texts]
-        if missing:
-            if len(self.cache) > self.entries:
-                missing = need
-            self._learn(list(missing))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        """Little-endian uint32 ids of a text."""
+        self.room()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)
@@ -146,8 +109,8 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: in
 
         def run(texts):
             out = {k: [] for k in (ROW, "piece", "start", "length", "ids_crc32", "ids")}
-            for i, raw in enumerate(tok.encode_batch([t or "" for t in texts])):
-                raw += end
+            for i, text in enumerate(texts):
+                raw = tok.encode(text or "") + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at:at + step]
                     out[ROW].append(i)
