@@ -201,5 +201,6 @@ def keep_determined(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
-    marked = predict(docs.withColumn("__text", F.col("text")), model, docs.columns, "__text")
-    return marked.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_share)).select(docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    marked = predict(whole, model, ["__row"])
+    return marked.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_share)).select("__row.*")

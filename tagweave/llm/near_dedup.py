@@ -313,3 +313,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 80, den: int = 1
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents, all columns as they are, without near-duplicates of a document with a lesser id.
+
+    What goes is named by ``near_duplicates``; rows that share an id, or have none, are not
+    near-duplicates of each other by that alone and stay.
+    """
+    found = near_duplicates(docs, width, num, den)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    same = docs["doc_id"].cast("long") == F.col("__gone")
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -159,4 +159,5 @@ def assess(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents, all columns as they are, that ``assess`` keeps; texts are not shuffled by id."""
     learned = fences(sketches(measure(docs, ["lang", "source"])))
-    return judge(measure(docs, docs.columns), learned).filter("kept").select(docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), "lang", "source", "text")
+    return judge(measure(whole, ["__row", "lang", "source"]), learned).filter("kept").select("__row.*")

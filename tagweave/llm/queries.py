@@ -90,7 +90,13 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_license_scan, op5_language_id, op6_quality_rules,
-                                   op7_fingerprints, op8_secret_scan, op9_near_dedup, op10_bpe_codec)}
+                                   op7_fingerprints, op8_secret_scan, op9_near_dedup, op10_bpe_codec, pipeline)}
 
 ORACLES: dict[str, str] = {}
