@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,14 +22,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "tagweave", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library defaults.
 
-    ``master`` defaults to ``local[*]`` only when no master is configured,
-    so the same call works under spark-submit on a cluster.
+    A master is set only when the caller names one, so under spark-submit the cluster's master
+    (and whatever else it configures) stands.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    elif not os.environ.get("SPARK_MASTER") and "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
-        b = b.master("local[*]")
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -38,15 +36,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local runs, tests) a private scratch folder is created.
+    Only where driver and executors are one process (a local master) and none is named is a
+    private scratch folder made; elsewhere a machine's own folder would be lost with it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,12 +51,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="tagweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, for a table that a later job rereads."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Reliable checkpoint (never a local one): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
