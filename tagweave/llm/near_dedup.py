@@ -7,10 +7,10 @@
    least id its representative); only representatives go on.
 3. *Bands.*  Equal runs of compressed registers put representatives into one bucket.
 4. *Links.*  No bucket is expanded into all pairs.  First every member is held against the
-   bucket's least member; then, in buckets whose members are not yet one component, members of
-   different components are compared in blocks by their registers (collision-corrected Jaccard
-   estimate): first each member's best partner in every other component, then every pair whose
-   estimate does not rule a link out.  Every candidate is confirmed on the full sets.
+   bucket's least member.  Then, in buckets whose members are not yet one component, members of
+   different components are compared block by block inside a task, by their registers
+   (collision-corrected Jaccard estimate) and, unless that rules a link out, on the full sets;
+   only links that join components leave the task.  Every link is confirmed on the full sets.
 5. *Components* by least-label propagation with pointer jumping over the confirmed links.
 """
 
@@ -225,49 +225,105 @@ def _star_candidates(bucket: DataFrame, reps: DataFrame, threshold: float) -> Da
     return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _cross_candidates(bucket: DataFrame, labels: DataFrame, reps: DataFrame, threshold: float,
-                      best_only: bool) -> DataFrame:
-    """``(a, b)``, a < b: members of one bucket in different components whose estimate allows a link.
+class _Block:
+    """Members of one bucket (or of two of its blocks) whose pairs are still to be confirmed."""
+
+    def __init__(self, key: int, across: bool, threshold: float, num: int, den: int):
+        self.key, self.across, self.threshold, self.num, self.den = key, across, threshold, num, den
+        self.node, self.label, self.n, self.block, self.regs, self.bands, self.sets = ([] for _ in range(7))
+
+    def links(self) -> list[tuple[int, int]]:
+        """Confirmed links that join different components, a spanning forest of them."""
+        if len(set(self.label)) < 2:
+            return []
+        node, label, n, block = (np.asarray(x) for x in (self.node, self.label, self.n, self.block))
+        regs, bands = np.stack(self.regs), np.stack(self.bands)
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i in range(len(node) - 1):
+            later = np.arange(i + 1, len(node))
+            later = later[(label[later] != label[i]) & (node[later] != node[i])
+                          & ((block[later] != block[i]) if self.across else True)]
+            if not len(later):
+                continue
+            # Two members may share several buckets; the pair belongs to the first of them.
+            first = np.argmax(bands[later] == bands[i], axis=1)
+            later = later[bands[i][first] == self.key]
+            if not len(later):
+                continue
+            got, error = estimate(regs[i], regs[later], n[i], n[later])
+            later = later[got >= self.threshold - SLACK * error]
+            for j in later[np.argsort(-got[got >= self.threshold - SLACK * error], kind="stable")].tolist():
+                x, y = find(label[i]), find(label[j])
+                if x == y:
+                    continue
+                a, b = self.sets[i], self.sets[j]
+                # The sizes alone bound the similarity.
+                if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
+                    continue
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                if self.den * same >= self.num * (len(a) + len(b) - same):
+                    parent[x] = y
+                    out.append((int(node[i]), int(node[j])))
+        return out
+
+
+def _cross_links(bucket: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)``: confirmed links between members of one bucket in different components.
 
     Buckets are cut into blocks by hash and compared block against block, so a task holds two
-    blocks of registers and emits only what passes; ``best_only`` keeps each member's best
-    partner in every other component.  Pairs with the bucket's least member were tried before.
+    blocks at a time; what it emits joins components, at most one row per member and block.
     """
     placed = bucket.select("key", "node").join(labels, "node", "left") \
         .select("key", "node", F.coalesce("label", "node").alias("label"))
+    # A bucket's least member was held against all others, so a lone pair is settled.
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                      F.count("*").alias("size")).filter("lo <> hi and size > 2")  # a lone pair was tried
+                                      F.count("*").alias("size")).filter("lo <> hi and size > 2")
     mixed = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(mixed, "key").join(reps, "node") \
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = members.select("key", "node", "label", "n", "regs", "block", other) \
-        .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-
-    def run(_, pdf):
-        import pandas as pd
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, BUCKETS)
-        node, label, n = (pdf[c].to_numpy() for c in ("node", "label", "n"))
-        block = pdf["block"].to_numpy()
-        found = []
-        for i in range(len(pdf)):
-            # Within one block every later member; across two blocks only the other block's.
-            mine = np.flatnonzero((label != label[i]) & (node > node[i])
-                                  & ((block != block[i]) | (pdf["lo"].iat[0] == pdf["hi"].iat[0])))
-            if not len(mine):
-                continue
-            got, error = estimate(regs[i], regs[mine], n[i], n[mine])
-            ok = got >= threshold - SLACK * error
-            if best_only:
-                order = np.argsort(-got[ok], kind="stable")
-                hit = mine[ok][order]
-                hit = hit[np.unique(label[hit], return_index=True)[1]]
-            else:
-                hit = mine[ok]
-            found.append(pd.DataFrame({"a": node[i], "b": node[hit]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    full = sets.select(F.col("doc_id").alias("node"), "shingles")
+    members = placed.join(mixed, "key") \
+        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .join(reps, "node").join(full, "node")
+    dealt = members.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                           "node", "label", "n", "block", "regs", "bands", "shingles")
+    parts = int(bucket.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    return dealt.drop("other").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi, node, label, n, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            regs = np.frombuffer(b"".join(batch["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            bands = batch["bands"].flatten().to_numpy().reshape(-1, BANDS)
+            ends = batch["shingles"].offsets.to_numpy()
+            values = batch["shingles"].values.to_numpy()
+            for i in range(batch.num_rows):
+                if (at := (key[i], lo[i], hi[i])) != now:
+                    if block is not None:
+                        out += block.links()
+                    now, block = at, _Block(key[i], lo[i] != hi[i], num / den, num, den)
+                for store, value in ((block.node, node[i]), (block.label, label[i]), (block.n, n[i]),
+                                     (block.block, part[i]), (block.regs, regs[i]), (block.bands, bands[i]),
+                                     (block.sets, values[ends[i]:ends[i + 1]])):
+                    store.append(value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+                out = []
+        if block is not None and (out := block.links()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100) -> DataFrame:
@@ -295,17 +351,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 80, den: int = 1
         .join(F.broadcast(involved) if few else involved, "doc_id", "left_semi")
     sets = cut_lineage(shingle_sets(picked, width))
 
-    tried = cut_lineage(_star_candidates(bucket, regs, threshold))
-    links = cut_lineage(_verified(tried, sets, num, den))
+    links = cut_lineage(_verified(_star_candidates(bucket, regs, threshold), sets, num, den))
     labels = components(links)
-    for best_only in (True, False):
-        more = cut_lineage(_cross_candidates(bucket, labels, regs, threshold, best_only)
-                           .join(tried, ["a", "b"], "left_anti"))
-        found = cut_lineage(_verified(more, sets, num, den))
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-        tried = tried.unionByName(more)
+    more = cut_lineage(_cross_links(bucket, labels, reps.select("node", "n", "regs", "bands"), sets, num, den))
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
 
     of_class = reps.select("digest", "node").join(labels, "node", "left") \
         .select("digest", F.coalesce("label", "node").alias("component"))

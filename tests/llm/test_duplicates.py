@@ -82,7 +82,7 @@ def test_near_duplicates_of_odd_and_real_texts(spark):
 
 
 def test_near_duplicates_of_edited_texts(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # so that buckets are cut into several blocks
+    monkeypatch.setattr(near_dedup, "BLOCK", 30)  # so that buckets are cut into several blocks
     compare_groups(spark, near_copies(), 4)
 
 
