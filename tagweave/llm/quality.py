@@ -160,4 +160,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents, all columns as they are, that ``assess`` keeps; texts are not shuffled by id."""
     learned = fences(sketches(measure(docs, ["lang", "source"])))
     whole = docs.select(F.struct(*docs.columns).alias("__row"), "lang", "source", "text")
-    return judge(measure(whole, ["__row", "lang", "source"]), learned).filter("kept").select("__row.*")
+    # The row number keeps the filter above the measures: pushed below them, it would repeat
+    # their expressions inside one another.
+    measured = measure(whole, ["__row", "lang", "source"]).withColumn("__at", F.monotonically_increasing_id())
+    return judge(measured, learned).filter("kept and __at >= 0").select("__row.*")
