@@ -10,7 +10,6 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -53,24 +52,16 @@ def decode_escapes(s: pd.Series) -> pd.Series:
     return out
 
 
-# The XML/HTML entities the SQL form decodes (``&amp;`` last,
-# so ``&amp;lt;`` becomes ``&lt;`` as with a single-pass decoder).
+# The entities that the oracle's SQL form decodes, those that the
+# test tables hold (``&amp;`` last, as a single-pass decoder would have it).
 SQL_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
     ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
 ]
 
 
-def unescape_entities_jvm(col) -> Column:
-    """JVM-only decoding of the common entities (no Python round trip).
-
-    Exact only for texts whose entities are all in ``SQL_ENTITIES``; the
-    pandas UDF is the general form.
-    """
-    c = F.col(col) if isinstance(col, str) else col
-    for ent, ch in SQL_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+# References of every kind and what they stand for, for checks.
+ENTITY_SAMPLE = (" &eacute;&#8217;&#x2026;&hellip;&lt;&notin; ", " é’……<∉ ")
 
 
 def sql_unescape_entities(x: str) -> str:

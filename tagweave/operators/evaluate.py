@@ -8,10 +8,13 @@ MaxEnt model's output too).  All are single small aggregations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import LABELS
+from ..session import cut_lineage
 from . import longform as L
 from .select import kth_smallest
 from .tagging import weight_of
@@ -24,20 +27,16 @@ REPORT_LABELS = ["neutral", "positive", "negative"]
 # many weightings at once
 # ---------------------------------------------------------------------------
 
-def _weighted_sum(w: dict):
-    """Merge function sum(cnt * weight(grp)) for ``F.aggregate`` (a factory:
-    PySpark would take a defaulted lambda argument for a lambda variable)."""
-    return lambda acc, t: acc + t["cnt"] * weight_of(t["grp"], w)
-
-
 def grid_values(docs: DataFrame, combos: list, terms: str = "terms") -> DataFrame:
     """POS-weighted L1 values of every (doc, term) pair under every weighting:
     ``combo_id, doc_id, label, split, word, grp, value``.  Per-document totals
     are computed in-row; rows = pairs x weightings."""
-    if len(combos) > 64:
-        raise ValueError("pass at most 64 weightings per call")
+    if len(combos) > L.GRID_CHUNK:
+        parts = [grid_values(docs, combos[i:i + L.GRID_CHUNK], terms).withColumn("combo_id", F.col("combo_id") + i)
+                 for i in range(0, len(combos), L.GRID_CHUNK)]
+        return reduce(DataFrame.unionByName, parts)
     d = L.with_counts(docs, terms)
-    totals = F.array(*[F.aggregate("counts", F.lit(0.0), _weighted_sum(w))
+    totals = F.array(*[F.aggregate("counts", F.lit(0.0), L._weighted_sum(w))
                        for w in combos])
     d = d.withColumn("_tot", totals)
     ex = L.explode_rows(d, ["doc_id", "label", "split", "_tot"], "counts")
@@ -145,10 +144,27 @@ def per_class(pred: DataFrame, labels=None, by: list | None = None) -> DataFrame
         rows.append(F.struct(F.lit(lab).alias("class"), tp.alias("tp"), pp.alias("pp"), sup.alias("support")))
     agg = pred.groupBy(*by).agg(F.array(*rows).alias("_r"))
     ex = agg.select(*by, F.explode("_r").alias("r")).select(*by, "r.*")
+    return _prf(ex, by)
+
+
+def _prf(ex: DataFrame, by: list | None = None) -> DataFrame:
+    """Precision, recall and F1 from ``class, tp, pp, support``."""
     prec = F.when(F.col("pp") > 0, F.col("tp") / F.col("pp")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    return ex.select(*by, "class", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support")
+    return ex.select(*(by or []), "class", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support")
+
+
+def _per_class_of(cm: DataFrame, labels: list) -> DataFrame:
+    """D14 from a confusion frame ``label, prediction, n``."""
+    rows = []
+    for lab in labels:
+        gold, said = F.col("label") == lab, F.col("prediction") == lab
+        cell = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+        rows.append(F.struct(F.lit(lab).alias("class"), cell(gold & said).alias("tp"), cell(said).alias("pp"),
+                             cell(gold).alias("support")))
+    ex = cm.agg(F.array(*rows).alias("_r")).select(F.explode("_r").alias("r")).select("r.*")
+    return _prf(ex)
 
 
 def macro_f1(pred: DataFrame, labels=None, by: list | None = None) -> DataFrame:
@@ -158,12 +174,16 @@ def macro_f1(pred: DataFrame, labels=None, by: list | None = None) -> DataFrame:
 
 
 def classification_report(pred: DataFrame, labels=None) -> DataFrame:
-    """One row per class plus micro, macro and weighted averages."""
-    pc = per_class(pred, labels or LABELS)
-    total = F.sum("support")
+    """One row per class plus micro, macro and weighted averages, all
+    derived from one confusion aggregate (at most labels^2 rows), so the
+    predictions are computed once."""
     labels = labels or LABELS
-    acc = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"),
-                   F.sum(F.col("label").isin(labels).cast("long")).alias("support"))
+    cm = cut_lineage(confusion(pred))
+    pc = _per_class_of(cm, labels)
+    total = F.sum("support")
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+    acc = cm.agg((right / F.sum("n")).alias("a"), F.sum(F.when(F.col("label").isin(labels), F.col("n")).otherwise(0))
+                 .alias("support"))
     micro = acc.select(F.lit("micro avg").alias("class"), F.col("a").alias("precision"), F.col("a").alias("recall"),
                        F.col("a").alias("f1"), "support")
     macro = pc.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),

@@ -18,6 +18,7 @@ Plan shape:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .tagging import weight_of
 TERM = ["word", "grp"]
 EXACT = "decimal(38,18)"    # order-independent sums (see ocfs_scores)
 MAX_CLASSES = 1000
+GRID_CHUNK = 64             # weightings whose values ride in one row
 
 
 # --------------------------------------------------------------------------
@@ -248,11 +250,14 @@ def ocfs_grid(docs: DataFrame, combos: list, sizes: dict, terms: str = "terms")
     Per document and weighting the L1 total is computed in-row; every
     (doc, term) pair then carries one value per weighting, and one grouped
     aggregation over (combo, term) with per-class sums gives all scores.
-    The work is (pairs x weightings) by nature, so callers pass at most 64
-    weightings per call.
+    The work is (pairs x weightings) by nature; grids beyond ``GRID_CHUNK``
+    weightings are scored chunk by chunk, so a row's value array and the plan
+    stay small whatever the grid.
     """
-    if len(combos) > 64:
-        raise ValueError("pass at most 64 weightings per call")
+    if len(combos) > GRID_CHUNK:
+        parts = [ocfs_grid(docs, combos[i:i + GRID_CHUNK], sizes, terms).withColumn("combo_id", F.col("combo_id") + i)
+                 for i in range(0, len(combos), GRID_CHUNK)]
+        return reduce(DataFrame.unionByName, parts)
     d = with_counts(_train(docs, "train"), terms)
     totals = F.array(*[F.aggregate("counts", F.lit(0.0), _weighted_sum(w))
                        for w in combos])

@@ -12,7 +12,7 @@ import itertools
 from functools import reduce
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,17 +39,31 @@ def beats_threshold(runs: DataFrame, accuracy_to_beat: float = 0.0, f1_to_beat:
     return runs.where((F.col("test_acc") > accuracy_to_beat) | (F.col("macro_f1") > f1_to_beat))
 
 
-def top_runs(runs: DataFrame, metric: str, k: int = 20) -> DataFrame:
-    """best ``k`` runs by a metric, ties in combo order."""
-    return runs.orderBy(F.desc(metric), "combo_id").limit(k)
+METRICS = {"accuracy": "test_acc", "f1": "macro_f1"}
 
 
-def runs_long(runs: DataFrame, k: int = 20) -> DataFrame:
-    """The two saved result lists of a search (by accuracy and by F1) as one
-    frame with a ``metric`` column and a 1-based ``rank``."""
-    acc = top_runs(runs, "test_acc", k).withColumn("metric", F.lit("accuracy"))
-    f1 = top_runs(runs, "macro_f1", k).withColumn("metric", F.lit("f1"))
-    return acc.unionByName(f1)
+def spread_to_grid(runs: list[dict], groups, scale: int) -> list[dict]:
+    """Scores of the canonical weightings mapped back to every point of
+    the grid (a multiple scores like its canonical weighting), in grid order."""
+    by_label = {r["weights"]: r for r in runs}
+    out = []
+    for i, w in enumerate(weight_grid(groups, scale, canonical=False)):
+        d = reduce(gcd, w.values())
+        found = by_label.get(weights_label({k: v // d for k, v in w.items()}))
+        if found is not None:
+            out.append({**found, "combo_id": i, "weights": weights_label(w)})
+    return out
+
+
+def top_runs(runs: DataFrame, k: int = 20, key: str = "run_name") -> DataFrame:
+    """the two saved result lists of every search, the best ``k`` runs by
+    accuracy and by F1, ties in combo order, with ``metric`` and 1-based
+    ``rank``.  Both lists come from one pass over the runs."""
+    each = runs.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in METRICS])))
+    value = F.when(F.col("metric") == "accuracy", F.col("test_acc")).otherwise(F.col("macro_f1"))
+    w = Window.partitionBy(key, "metric").orderBy(F.desc("_value"), "combo_id")
+    return (each.withColumn("_value", value).withColumn("rank", F.row_number().over(w).cast("long"))
+            .where(F.col("rank") <= k).drop("_value"))
 
 
 def best_per_run(results: DataFrame, key: str = "run_name") -> DataFrame:

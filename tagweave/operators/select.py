@@ -5,7 +5,7 @@ group, for a bounded number of groups) by histogram refinement: each pass
 is one scan with a partial aggregation into at most ``buckets`` rows per
 group; the bucket holding rank k becomes the next range.  What reaches the
 driver per pass is bounded by ``groups x buckets`` rows, whatever the data
-size, and the last pass collects at most ``max_collect`` values.
+size, and the last pass collects at most ``max_collect`` values in all.
 
 ``global_index`` is the DataFrame form of ``zipWithIndex``: range-partition,
 sort inside partitions, checkpoint (so the partitioning is fixed), count per
@@ -16,11 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-MAX_GROUPS = 10_000
-
 
 def _map_lit(d: dict) -> Column:
     items = []
@@ -35,70 +34,52 @@ def kth_smallest(df: DataFrame, value: str, k, group: str | None = None,
 
     ``k`` is an int (same rank for every group) or a dict group -> rank.
     Returns dict group -> value (key ``None`` when ungrouped); groups whose
-    rank exceeds their size are omitted.
+    rank exceeds their size are omitted.  The open groups' ranges travel as
+    a small joined frame (one row per group), and values are collected only
+    when those of all open groups together are at most ``max_collect``.
     """
+    spark = df.sparkSession
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     base = df.select(g.alias("_g"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    stats = base.groupBy("_g").agg(F.count("*").alias("n"), F.min("_v").alias("lo"),
-                                   F.max("_v").alias("hi")).collect()
-    if len(stats) > MAX_GROUPS:
-        raise ValueError(f"kth_smallest supports at most {MAX_GROUPS} groups, got {len(stats)}")
-    ranks = {}
-    state = {}
-    for r in stats:
+    kind = base.schema["_v"].dataType
+    # whole numbers are bucketed in exact arithmetic: doubles would merge
+    # neighbours beyond 2^53 and the range would never shrink
+    exact = isinstance(kind, T.IntegralType)
+    state, result = {}, {}
+    for r in base.groupBy("_g").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect():
         kk = k.get(r["_g"]) if isinstance(k, dict) else k
-        if kk is None or kk < 1 or kk > r["n"]:
-            continue
-        ranks[r["_g"]] = kk
-        state[r["_g"]] = (r["lo"], r["hi"], kk, r["n"])
-    result = {}
-    while state:
-        # groups whose range is a single value or small enough are finished
-        small = {gk: s for gk, s in state.items() if s[0] == s[1] or s[3] <= max_collect}
-        for gk, (lo, hi, kk, n) in list(small.items()):
-            if lo == hi:
-                result[gk] = lo
-                del state[gk]
-        small = {gk: s for gk, s in state.items() if s[3] <= max_collect}
-        if small:
-            cond = None
-            for gk, (lo, hi, kk, n) in small.items():
-                c = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
-                c = c & (F.col("_g").isNull() if gk is None else F.col("_g") == F.lit(gk))
-                cond = c if cond is None else cond | c
-            vals = {}
-            for r in base.where(cond).collect():
-                vals.setdefault(r["_g"], []).append(r["_v"])
-            for gk, (lo, hi, kk, n) in small.items():
-                result[gk] = sorted(vals.get(gk, []))[kk - 1]
-                del state[gk]
+        if kk is not None and 1 <= kk <= r["n"]:
+            state[r["_g"]] = (r["lo"], r["hi"], kk, r["n"])
+    schema = T.StructType([T.StructField("_sg", T.StringType()), T.StructField("_lo", kind), T.StructField("_hi", kind)])
+    while True:
+        for gk in [gk for gk, st in state.items() if st[0] == st[1]]:
+            result[gk] = state.pop(gk)[0]
         if not state:
-            break
-        lo_m = _map_lit({("" if gk is None else gk): float(s[0]) for gk, s in state.items()})
-        w_m = _map_lit({("" if gk is None else gk): float(s[1] - s[0]) for gk, s in state.items()})
-        hi_m = _map_lit({("" if gk is None else gk): s[1] for gk, s in state.items()})
-        lo_raw = _map_lit({("" if gk is None else gk): s[0] for gk, s in state.items()})
-        gkey = F.coalesce(F.col("_g").cast("string"), F.lit(""))
-        inrange = (F.col("_v") >= F.try_element_at(lo_raw, gkey)) & (F.col("_v") <= F.try_element_at(hi_m, gkey))
-        bucket = F.least(F.lit(buckets - 1), F.floor(
-            (F.col("_v").cast("double") - F.try_element_at(lo_m, gkey)) / F.try_element_at(w_m, gkey) * buckets
-        ).cast("long"))
-        keep = gkey.isin([("" if gk is None else gk) for gk in state])
-        hist = (base.where(keep).where(inrange).groupBy("_g", bucket.alias("_b"))
-                .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-                .collect())
-        by_group = {}
-        for r in hist:
-            by_group.setdefault(r["_g"], []).append(r)
-        for gk in list(state):
-            lo, hi, kk, n = state[gk]
-            acc = 0
-            for r in sorted(by_group.get(gk, []), key=lambda r: r["_b"]):
-                if acc + r["n"] >= kk:
-                    state[gk] = (r["lo"], r["hi"], kk - acc, r["n"])
-                    break
-                acc += r["n"]
-    return result
+            return result
+        ranges = spark.createDataFrame([(gk, st[0], st[1]) for gk, st in state.items()], schema)
+        left = base.join(ranges, F.col("_g").eqNullSafe(F.col("_sg")) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        if sum(st[3] for st in state.values()) <= max_collect:
+            values = {}
+            for r in left.select("_g", "_v").collect():
+                values.setdefault(r["_g"], []).append(r["_v"])
+            result.update({gk: sorted(values[gk])[st[2] - 1] for gk, st in state.items()})
+            return result
+        if exact:
+            v, lo, hi = (F.col(c).cast("decimal(28,0)") for c in ("_v", "_lo", "_hi"))
+            bucket = F.floor((v - lo) * buckets / (hi - lo + 1)).cast("long")
+        else:
+            v, lo, hi = (F.col(c).cast("double") for c in ("_v", "_lo", "_hi"))
+            bucket = F.least(F.lit(buckets - 1), F.floor((v - lo) / (hi - lo) * buckets).cast("long"))
+        hist = left.groupBy("_g", bucket.alias("_b")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"),
+                                                           F.max("_v").alias("hi")).collect()
+        before = dict.fromkeys(state, 0)
+        found = {}
+        for r in sorted(hist, key=lambda r: r["_b"]):
+            gk = r["_g"]
+            if gk not in found and before[gk] + r["n"] >= state[gk][2]:
+                found[gk] = (r["lo"], r["hi"], state[gk][2] - before[gk], r["n"])
+            before[gk] += r["n"]
+        state = found
 
 
 def kth_smallest_many(df: DataFrame, value: str, ranks: list, max_collect: int = 50_000) -> tuple[int, list]:

@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .select import global_index
 
 DEFAULT_GROUP = "DEFAULT"
-# A lexicon small enough to travel inside the plan as a literal map; larger
-# lexicons are joined instead.
-MAX_INLINE_LEXICON = 20_000
 
 
 def rule_tag(word: Column, rules=None, default: str = P.DEFAULT_TAG) -> Column:
@@ -34,40 +32,26 @@ def tag_words(df: DataFrame, words: str = "words", out: str = "tokens", lexicon=
     """``words ARRAY<STRING>`` -> ``tokens ARRAY<STRUCT<word, tag>>``.
 
     ``lexicon`` (word -> tag; a dict or a two-column DataFrame) wins over the
-    rules.  A lexicon up to ``MAX_INLINE_LEXICON`` entries (size checked) is
-    inlined as a literal map; a larger one is joined on (word) after an
-    explode and the tokens are re-assembled per document in position order.
+    rules.  It is joined on the word whatever its size (Spark broadcasts a
+    small one); of several tags for a word the alphabetically first counts.
+    Documents need no unique key: rows are numbered first.
     """
-    if lexicon is not None and not isinstance(lexicon, dict):
-        n = lexicon.count()
-        if n <= MAX_INLINE_LEXICON:
-            lexicon = {r[0]: r[1] for r in lexicon.collect()}
-        else:
-            return _tag_words_joined(df, words, out, lexicon, rules)
-    if lexicon:
-        items = []
-        for k, v in lexicon.items():
-            items += [F.lit(k), F.lit(v)]
-        lex = F.create_map(*items)
-        tagf = lambda w: F.coalesce(F.try_element_at(lex, w), rule_tag(w, rules))
-    else:
-        tagf = lambda w: rule_tag(w, rules)
-    return df.withColumn(out, F.transform(F.col(words), lambda w: F.struct(w.alias("word"), tagf(w).alias("tag"))))
-
-
-def _tag_words_joined(df, words, out, lexicon, rules):
-    lex = lexicon.toDF("word", "_lex_tag")
-    keys = [c for c in df.columns if c != words]
-    ex = (df.select("doc_id", F.posexplode_outer(words).alias("_pos", "word"))
-          .where(F.col("word").isNotNull()))
-    tagged = (ex.join(lex, "word", "left")
-              .withColumn("tag", F.coalesce("_lex_tag", rule_tag(F.col("word"), rules))))
-    per_doc = (tagged.groupBy("doc_id")
-               .agg(F.array_sort(F.collect_list(F.struct("_pos", "word", "tag"))).alias("_t"))
-               .select("doc_id", F.transform("_t", lambda t: F.struct(t["word"].alias("word"),
-                                                                        t["tag"].alias("tag"))).alias(out)))
-    return df.join(per_doc, "doc_id", "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<struct<word:string,tag:string>>")))
+    if lexicon is None:
+        return df.withColumn(out, F.transform(F.col(words), lambda w: F.struct(
+            w.alias("word"), rule_tag(w, rules).alias("tag"))))
+    spark = df.sparkSession
+    if isinstance(lexicon, dict):
+        lexicon = spark.createDataFrame(list(lexicon.items()), "word string, tag string")
+    lex = (lexicon.toDF("word", "_lex_tag").where("word is not null and _lex_tag is not null")
+           .groupBy("word").agg(F.min("_lex_tag").alias("_lex_tag")))
+    keyed = global_index(df.withColumn("_ord", F.xxhash64(F.col(words).cast("string"))), ["_ord"], "_doc").drop("_ord")
+    ex = keyed.select("_doc", F.posexplode(words).alias("_pos", "word"))
+    tagged = ex.join(lex, "word", "left").withColumn("tag", F.coalesce("_lex_tag", rule_tag(F.col("word"), rules)))
+    per_doc = (tagged.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("_pos", "word", "tag"))).alias("_t"))
+               .select("_doc", F.transform("_t", lambda t: F.struct(t["word"].alias("word"),
+                                                                     t["tag"].alias("tag"))).alias(out)))
+    none = F.when(F.col(words).isNotNull(), F.array().cast("array<struct<word:string,tag:string>>"))
+    return keyed.join(per_doc, "_doc", "left").withColumn(out, F.coalesce(F.col(out), none)).drop("_doc")
 
 
 def group_of(tag: Column, groups: dict, default: str = DEFAULT_GROUP) -> Column:
@@ -112,11 +96,6 @@ def remove_stopwords(words: Column, stopwords=None) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop))
 
 
-def term_keys(terms: Column, sep: str = "\u001f") -> Column:
-    """``(word, grp)`` pairs as single strings, the vocabulary keys of the ML path."""
-    return F.transform(terms, lambda t: F.concat(t["grp"], F.lit(sep), t["word"]))
-
-
 def tag_statistics(docs: DataFrame, tokens: str = "tokens", by: str = "label") -> DataFrame:
     """Tokens, distinct words and documents per (label, tag), with the
     tag's description and family from the tagset dimension."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import cleaning as C
 from ..functions import patterns as P
-from ..functions.udfs import sql_unescape_entities
+from ..functions.udfs import ENTITY_SAMPLE, sql_unescape_entities
 from . import oracle_sql as O
 from ..functions import naming as NM
 from ..operators import search as R
@@ -498,7 +498,9 @@ ORACLES = {
                           " AS text_out FROM (SELECT doc_id, " + C.sql_normalise_whitespace("text") +
                           " AS w FROM documents)",
     "strip_backslash": _per_doc(C.sql_strip_backslash(C.sql_normalise_whitespace("{x}"))),
-    "entity_decode": _per_doc(sql_unescape_entities("{x}"), "pages", "page_id", "html"),
+    "entity_decode": _per_doc(
+        "replace(" + sql_unescape_entities("replace({x}, ' the ', chr(1))") + f", chr(1), {O.q(ENTITY_SAMPLE[1])})",
+        "pages", "page_id", "html"),
     "clean_text": _clean_text_sql(),
     "class_distribution": class_distribution(),
     "dedupe_first": "SELECT doc_id, lang, source, n_chars FROM documents "

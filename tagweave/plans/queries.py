@@ -8,19 +8,18 @@ places on both sides.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..functions.udfs import unescape_entities_jvm
+from ..functions.udfs import ENTITY_SAMPLE
 from ..operators import longform as L
 from ..operators import sampling as S
 from ..operators import evaluate as V
 from ..operators import search as R
 from ..operators import tagging as T
 from ..functions import naming as NM
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import labelled_documents, table
 from . import corpus as K
 
@@ -69,8 +68,10 @@ def q_strip_quotes(spark, sf_dir):
 
 
 def q_entity_decode(spark, sf_dir):
-    """H2 (5-entity JVM form, exact on the page table's entities)."""
-    return table(spark, sf_dir, "pages").select("page_id", unescape_entities_jvm("html").alias("text_out"))
+    """H2, the full decoder, on the pages with named, decimal and hex
+    references put between their words."""
+    html = F.replace("html", F.lit(" the "), F.lit(ENTITY_SAMPLE[0]))
+    return table(spark, sf_dir, "pages").select("page_id", K.decode_entities(html).alias("text_out"))
 
 
 def q_clean_url(spark, sf_dir):
@@ -407,15 +408,8 @@ def q_beats_threshold(spark, sf_dir):
 
 
 def _saved_lists(spark, sf_dir):
-    """The two best-20 lists of each search, as the reference saves them."""
-    from pyspark.sql import Window
-    runs = search_runs(spark, sf_dir)
-    out = None
-    for metric, col in (("accuracy", "test_acc"), ("f1", "macro_f1")):
-        w = Window.partitionBy("run_name").orderBy(F.desc(col), "combo_id")
-        part = runs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 20).withColumn("metric", F.lit(metric))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The two best-20 lists of each search."""
+    return R.top_runs(search_runs(spark, sf_dir), 20)
 
 
 def q_top_runs(spark, sf_dir):
@@ -424,12 +418,12 @@ def q_top_runs(spark, sf_dir):
 
 
 def q_best_per_run(spark, sf_dir):
-    return (_saved_lists(spark, sf_dir).where(F.col("rank") == 1)
+    return (R.best_per_run(_saved_lists(spark, sf_dir))
             .select("run_name", "metric", "combo_id", "weights", "train_acc", "test_acc", "macro_f1"))
 
 
 def q_leaderboard(spark, sf_dir):
-    best = _saved_lists(spark, sf_dir).where(F.col("rank") == 1)
+    best = R.best_per_run(_saved_lists(spark, sf_dir))
     acc = R.leaderboard(best, "accuracy", 10)
     f1 = R.leaderboard(best, "f1", 10)
     return acc.unionByName(f1).select("metric", "run_name", "combo_id", "weights", "train_acc", "test_acc", "macro_f1")
@@ -440,11 +434,6 @@ def q_leaderboard(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 FUSED_BLOCKS = {"bow": 0.5, "pos": 0.5}
-# L-BFGS iteration budget of the registered (rows-only) MaxEnt queries.  The
-# library default is the reference's 5000; these ill-conditioned problems
-# converge slowly and each Spark iteration costs a job, so the registered
-# checks use a bounded budget.  Pass max_iter=5000 for reference fidelity.
-QUERY_MAX_ITER = 200
 
 
 def _splits(spark, sf_dir, groups=None):
@@ -464,7 +453,7 @@ def q_maxent_predict(spark, sf_dir):
     """Fused BoW .5 + POS .5 model, test-set predictions."""
     from ..operators import models as M
     train, test = _splits(spark, sf_dir)
-    model = M.fit_fused(train, WEIGHTS, N_DELETE, FUSED_BLOCKS, max_iter=QUERY_MAX_ITER)
+    model = M.fit_fused(train, WEIGHTS, N_DELETE, FUSED_BLOCKS)
     _release(train, test)
     return M.predict(model, test)
 
@@ -473,7 +462,7 @@ def _baseline_report(kind):
     def q(spark, sf_dir):
         from ..operators import models as M
         train, test = _splits(spark, sf_dir)
-        model = M.baseline(train, kind, max_iter=QUERY_MAX_ITER)
+        model = M.baseline(train, kind)
         _release(train, test)
         return V.classification_report(M.predict(model, test))
     return q
@@ -485,8 +474,7 @@ def q_grid_search(spark, sf_dir):
     from ..operators import models as M
     groups = {"A": ["A"], "V": ["V"]}
     train, test = _splits(spark, sf_dir, groups)
-    rows = M.grid_search(train, test, groups, 2, N_DELETE, {"bow": 0.7, "pos": 0.3}, parallelism=4,
-                         max_iter=QUERY_MAX_ITER)
+    rows = M.grid_search(train, test, groups, 2, N_DELETE, {"bow": 0.7, "pos": 0.3}, parallelism=4)
     _release(train, test)
     return spark.createDataFrame(rows, "combo_id long, weights string, train_acc double, test_acc double, "
                                        "macro_f1 double")
@@ -496,8 +484,8 @@ def q_fit_or_load(spark, sf_dir):
     """Persisted model reused (fit and saved on first use)."""
     from ..operators import models as M
     train, test = _splits(spark, sf_dir)
-    model = M.fit_or_load(spark, train, WEIGHTS, N_DELETE, FUSED_BLOCKS, 0.7, "plain", "train",
-                          max_iter=QUERY_MAX_ITER)
+    model = M.fit_or_load(spark, train, WEIGHTS, N_DELETE, FUSED_BLOCKS, f"{ensure_checkpoint_dir(spark)}/models",
+                          0.7, GROUPS, "plain", "train")
     _release(train, test)
     return V.confusion(M.predict(model, test))
 

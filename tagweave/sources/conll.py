@@ -7,19 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.select import global_index
+from .raw import file_order
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Each blank-line separated block is one document; its position in the
-    file is ``doc_pos`` (0-based).  Blocks without tokens are skipped, as a
+    """Each blank-line separated block is one document; its position over
+    the files in path order is ``doc_pos`` (0-based).  Blocks without tokens are skipped, as a
     block reader skips repeated blank lines."""
     raw = (spark.read.option("lineSep", "\n\n").text(path)
-           .select(F.monotonically_increasing_id().alias("_order"), F.col("value")))
+           .select(*file_order(), F.col("value")))
     lines = F.filter(F.split(F.col("value"), "\n"), lambda l: F.length(F.trim(l)) > 0)
     tokens = F.transform(lines, lambda l: F.struct(F.split(l, "\t")[0].alias("word"),
                                                    F.split(l, "\t")[1].alias("tag")))
-    docs = raw.select("_order", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    return global_index(docs, ["_order"], "doc_pos").drop("_order").select("doc_pos", "tokens")
+    docs = raw.select("_file", "_start", "_row", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    return global_index(docs, ["_file", "_start", "_row"], "doc_pos").select("doc_pos", "tokens")
 
 
 def join_labels(tokens: DataFrame, labels: DataFrame, strict: bool = True) -> DataFrame:

@@ -15,6 +15,14 @@ LABELLED_SCHEMA = "doc_pos long, label string, text string"
 BOM = "﻿"
 
 
+def file_order() -> list:
+    """Position of a row over many files: path, then the split's offset in the
+    file, then the order within the split (a split is read by one task)."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_row")]
+
+
+
 def read_raw(spark: SparkSession, paths, quote_mode: str = "line") -> DataFrame:
     """A1/A2: header-less tab-separated tweets, 3 or 4 fields.
 
@@ -35,11 +43,16 @@ def read_raw(spark: SparkSession, paths, quote_mode: str = "line") -> DataFrame:
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """A3: the processed labelled table (index, label, text; all quoted, BOM)."""
-    df = (spark.read.schema(LABELLED_SCHEMA).option("quote", '"').option("escape", '"')
+    """A3: the processed labelled table (index, label, text; all quoted, BOM).
+
+    Fields may hold line ends, so a file is one record stream; write many
+    files to read them in parallel (``write_labelled`` does).
+    """
+    df = (spark.read.schema("_pos string, label string, text string").option("quote", '"').option("escape", '"')
           .option("multiLine", True).option("header", False).csv(path))
-    # the BOM sits in front of the first field of the first line
-    return df.withColumn("doc_pos", F.col("doc_pos"))
+    # a BOM in front of the first field of a file also hides its quotes
+    pos = F.regexp_replace("_pos", f'[{BOM}"]', "").cast("long")
+    return df.select(pos.alias("doc_pos"), "label", "text")
 
 
 def read_labels(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -52,6 +65,5 @@ def read_labels(spark: SparkSession, path: str, start: int | None = None, end: i
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """A5: one document per line, BOM stripped, with its line position."""
     from ..operators.select import global_index
-    df = spark.read.text(path).select(F.ltrim(F.regexp_replace("value", "^" + BOM, "")).alias("text"),
-                                      F.monotonically_increasing_id().alias("_order"))
-    return global_index(df, ["_order"], "doc_pos").drop("_order")
+    df = spark.read.text(path).select(F.ltrim(F.regexp_replace("value", "^" + BOM, "")).alias("text"), *file_order())
+    return global_index(df, ["_file", "_start", "_row"], "doc_pos").select("text", "doc_pos")

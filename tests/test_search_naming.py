@@ -49,3 +49,34 @@ def test_wrong_predictions_zero_is_empty(spark):
     pred = spark.createDataFrame([(1, "a", "b")], "doc_id long, label string, prediction string")
     assert V.wrong_predictions(pred, 0).count() == 0
     assert V.wrong_predictions(pred, 3).count() == 1
+
+
+def test_scores_spread_to_the_whole_grid():
+    from tagweave.operators import search as R
+    groups = {"A": ["A"], "V": ["V"]}
+    canonical = [{"combo_id": i, "weights": R.weights_label(w), "test_acc": i / 10} for i, w in enumerate(R.weight_grid(groups, 3))]
+    full = R.spread_to_grid(canonical, groups, 3)
+    assert [r["weights"] for r in full] == [R.weights_label(w) for w in R.weight_grid(groups, 3, canonical=False)]
+    score = {r["weights"]: r["test_acc"] for r in full}
+    assert len(full) == 9 and score["A:1,V:1"] == score["A:2,V:2"] == score["A:3,V:3"]
+
+
+def test_kth_smallest_on_neighbouring_large_integers(spark):
+    from tagweave.operators.select import kth_smallest
+    big = 1 << 60
+    df = spark.createDataFrame([(big + i % 2,) for i in range(6)] + [(-big,), (2 ** 63 - 1,)], "v long")
+    ordered = sorted([big + i % 2 for i in range(6)] + [-big, 2 ** 63 - 1])
+    assert [kth_smallest(df, "v", k, max_collect=1)[None] for k in (1, 2, 5, 8)] == [ordered[k - 1] for k in (1, 2, 5, 8)]
+
+
+def test_grids_beyond_one_chunk(spark, monkeypatch):
+    from tagweave.operators import evaluate as V
+    from tagweave.operators import longform as L
+    docs = spark.createDataFrame([(1, "x", "train", [("a", "A"), ("b", "V")]), (2, "y", "train", [("a", "V")])],
+                                 "doc_id long, label string, split string, terms array<struct<word:string,grp:string>>")
+    combos = [{"A": a, "V": v} for a in range(1, 4) for v in range(1, 4)]
+    whole = sorted(map(tuple, V.grid_values(docs, combos).collect()))
+    scores = sorted(map(tuple, L.ocfs_grid(docs, combos, {"x": 1, "y": 1}).collect()))
+    monkeypatch.setattr(L, "GRID_CHUNK", 4)
+    assert sorted(map(tuple, V.grid_values(docs, combos).collect())) == whole
+    assert sorted(map(tuple, L.ocfs_grid(docs, combos, {"x": 1, "y": 1}).collect())) == scores

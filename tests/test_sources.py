@@ -56,3 +56,50 @@ def test_saved_runs_round_trip(spark, tmp_path):
     sinks.save_runs(runs, out)
     back = sinks.read_runs(spark, out)
     assert back.count() == 2 and set(back.columns) >= {"run_name", "test_acc"}
+
+
+def test_order_follows_paths_not_sizes(spark, tmp_path):
+    from tagweave.sources import conll
+    (tmp_path / "t").mkdir()
+    (tmp_path / "c").mkdir()
+    for name, words in (("a.txt", ["a0", "a1"]), ("b.txt", [f"b{i}" * 50 for i in range(40)])):
+        _write(tmp_path / "t" / name, "\n".join(words) + "\n")
+        _write(tmp_path / "c" / name, "\n\n".join(f"{w}\tN" for w in words) + "\n\n")
+    want = ["a0", "a1"] + [f"b{i}" * 50 for i in range(40)]
+    lines = raw.read_text_lines(spark, str(tmp_path / "t")).orderBy("doc_pos").collect()
+    assert [r["text"] for r in lines] == want
+    docs = conll.read_conll(spark, str(tmp_path / "c")).orderBy("doc_pos").collect()
+    assert [r["tokens"][0]["word"] for r in docs] == want
+    assert [r["doc_pos"] for r in docs] == list(range(42))
+
+
+def test_bom_is_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(0, "positive", 'a "b"'), (1, "neutral", "c")],
+                               "row_index long, label string, text string").coalesce(1)
+    out = tmp_path / "bom"
+    sinks.write_labelled(df, str(out))
+    data = b"".join(p.read_bytes() for p in out.glob("part-*"))
+    assert data.startswith(b'\xef\xbb\xbf"0","positive","a ""b"""\n')
+    back = raw.read_labelled(spark, str(out)).orderBy("doc_pos").collect()
+    assert [(r["doc_pos"], r["text"]) for r in back] == [(0, 'a "b"'), (1, "c")]
+
+
+def test_text_and_parquet_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x\ny"), (2, "z")], "doc_id long, text string")
+    sinks.write_text_only(df, str(tmp_path / "t"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["x y", "z"]
+    sinks.write_cleaned(df, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_result_lists_by_first_line(spark, tmp_path):
+    (tmp_path / "r" / "deep").mkdir(parents=True)
+    _write(tmp_path / "r" / "AV_scale_3_accuracy.txt", "({'A': 2, 'V': 1}, 0.91, 0.65, 0.6)\n({'A': 1, 'V': 1}, 0.9, 0.64, 0.7)\n")
+    _write(tmp_path / "r" / "deep" / "AV_scale_3_f1.txt", "\n({'A': 1, 'V': 3}, 0.88, 0.6, 0.7012)\n")
+    _write(tmp_path / "r" / "deep" / "empty_f1.txt", "")
+    got = {r["run_name"]: r for r in sinks.read_result_lists(spark, str(tmp_path / "r")).collect()}
+    assert set(got) == {"AV_scale_3_accuracy", "AV_scale_3_f1"}
+    a, f = got["AV_scale_3_accuracy"], got["AV_scale_3_f1"]
+    assert (a["metric"], a["weights"], a["train_acc"], a["test_acc"], a["macro_f1"]) == \
+        ("accuracy", "{'A': 2, 'V': 1}", 0.91, 0.65, 0.6)
+    assert (f["metric"], f["macro_f1"]) == ("f1", 0.7012)

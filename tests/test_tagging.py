@@ -40,3 +40,15 @@ def test_read_conll(spark, tmp_path):
     p.write_text("good\tA\t0.9\ndog\tN\t0.8\n\nbad\tA\t0.7\n\n", encoding="utf-8")
     got = [[(t["word"], t["tag"]) for t in r["tokens"]] for r in read_conll(spark, str(p)).orderBy("doc_pos").collect()]
     assert got == [[("good", "A"), ("dog", "N")], [("bad", "A")]]
+
+
+def test_lexicon_wins_whatever_its_form(spark):
+    from tagweave.operators import tagging as T
+    docs = spark.createDataFrame([(1, ["zork", "runs", "zork"]), (2, []), (3, None), (1, ["zork"])],
+                                 "doc_id long, words array<string>")
+    table = spark.createDataFrame([("zork", "V"), ("zork", "A"), ("zork", "A"), (None, "N")], "w string, t string")
+    rules = {r["word"]: r["tag"] for row in T.tag_words(docs, "words").where("size(words) = 3").collect() for r in row["tokens"]}
+    for lexicon, tag in ((table, "A"), ({"zork": "R"}, "R")):
+        got = sorted((r["doc_id"], None if r["tokens"] is None else [tuple(t) for t in r["tokens"]])
+                     for r in T.tag_words(docs, "words", lexicon=lexicon).where("words is not null").collect())
+        assert got == [(1, [("zork", tag)]), (1, [("zork", tag), ("runs", rules["runs"]), ("zork", tag)]), (2, [])]
