@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagweave.llm.oracles import ORACLES  # noqa: F401 - read by the entry point
+
 
 def tokenizer_path(name: str) -> str:
     """Place of an installed public tokenizer file (never copied into the repository)."""
@@ -99,4 +101,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_license_scan, op5_language_id, op6_quality_rules,
                                    op7_fingerprints, op8_secret_scan, op9_near_dedup, op10_bpe_codec, pipeline)}
 
-ORACLES: dict[str, str] = {}
