@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import cleaning as C
 from ..functions import patterns as P
 from ..functions.udfs import ENTITY_SAMPLE, sql_unescape_entities
@@ -250,15 +252,20 @@ SELECT * FROM (
 
 def block_union():
     b = QQ.BLOCKS
-    return _train_ocfs(O.percentile_cte("ocfs", "score", _rank_pct()), IDF_CTE,
-                       O.counts_cte().replace("counts AS", "all_counts AS"),
-                       TFIDF_CTE.replace("FROM counts c", "FROM all_counts c")) + f"""
+    sql = _train_ocfs(O.percentile_cte("ocfs", "score", _rank_pct()), IDF_CTE,
+                      O.counts_cte().replace("counts AS", "all_counts AS"),
+                      TFIDF_CTE.replace("FROM counts c", "FROM all_counts c"),
+                      "kept AS (SELECT o.word, o.grp FROM ocfs o, cut c WHERE o.score >= c.cut)") + f"""
 SELECT doc_id, 'bow' AS block, word, grp, round(1.0::DOUBLE * {b['bow']!r}, 6) AS value FROM counts
 UNION ALL
 SELECT w.doc_id, 'pos', w.word, w.grp, round(w.value * {b['pos']!r}, 6)
-FROM weighted w JOIN ocfs o ON o.word = w.word AND o.grp = w.grp, cut c WHERE o.score >= c.cut
+FROM weighted w JOIN kept k ON k.word = w.word AND k.grp = w.grp
 UNION ALL
 SELECT doc_id, 'tfidf', word, grp, round(value * {b['tfidf']!r}, 6) FROM tfidf WHERE split = 'train'"""
+    # read by several branches: computed once
+    for name in ("cleaned", "terms", "counts", "all_counts", "weighted", "ocfs", "cut", "kept"):
+        sql = re.sub(rf"(?m)^{name} AS \(", f"{name} AS MATERIALIZED (", sql)
+    return sql
 
 
 def _pred_ctes(combos, n_delete, tag=""):
