@@ -176,6 +176,20 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return walked.filter("place is null").select(names).unionByName(met.mapInArrow(finish, PAIR_DDL))
 
 
+def compare_and_search(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
+    """``compare_with_next`` and, for documents whose id ``every`` divides, ``n_near``.
+
+    ``n_near`` is the number of other distinct fingerprints of the corpus within ``radius`` bits
+    of the document's; it is null for all other documents.
+    """
+    made = cut_lineage(compare_with_next(docs))  # narrow rows, read three times
+    asked = F.col("doc_id") % every == 0
+    found = near_fingerprints(made, made.filter(asked), radius).filter(F.col("query") != F.col("fingerprint")) \
+        .groupBy(F.col("query").alias("__query")).agg(F.count("*").alias("found"))
+    return made.join(found, F.col("fingerprint") == F.col("__query"), "left") \
+        .select(*made.columns, F.when(asked, F.coalesce("found", F.lit(0))).alias("n_near"))
+
+
 def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, bits: int = BITS) -> DataFrame:
     """``query, fingerprint, distance``: all fingerprints within the radius of each query's.
 

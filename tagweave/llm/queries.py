@@ -69,9 +69,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of every document, of its edited text, and likeness to that and the next document."""
-    from tagweave.llm.fingerprint import compare_with_next
-    return compare_with_next(table(spark, sf_dir, "documents"))
+    """SimHash of every document, of its edited text, and likeness to that and the next document;
+    for ids divisible by 20 also how many other fingerprints lie within three bits."""
+    from tagweave.llm.fingerprint import compare_and_search
+    return compare_and_search(table(spark, sf_dir, "documents"), radius=3, every=20)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,20 @@ def test_fingerprints_of_edited_texts(spark):
     assert len(lone) == 1 and lone[0]["near_next"] == 1
 
 
+def test_search_counts_every_fingerprint_within_the_radius(spark):
+    rows = documents(spark, 60)
+    words = (rows[2]["text"] or "").split()
+    rows += [{"doc_id": 20_000 + 20 * i, "text": " ".join(words[:len(words) - i]), "lang": "en", "source": "s", "n_chars": 0}
+             for i in range(4)]
+    got = fingerprint.compare_and_search(frame(spark, rows), radius=12, every=20).collect()
+    prints = {r["fingerprint"] for r in got}
+    assert len(got) == len(rows)
+    for r in got:
+        near = sum(0 < (int(p, 16) ^ int(r["fingerprint"], 16)).bit_count() <= 12 for p in prints)
+        assert r["n_near"] == (near if r["doc_id"] % 20 == 0 else None)
+    assert any(r["n_near"] for r in got)
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     draw = random.Random(9)
     base = [draw.getrandbits(fingerprint.BITS) for _ in range(20)]
