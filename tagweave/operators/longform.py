@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .select import kth_smallest
@@ -144,9 +144,9 @@ def tfidf(docs: DataFrame, idf_df: DataFrame, terms: str = "terms") -> DataFrame
     tc = term_counts(docs, terms)
     j = tc.join(idf_df.select(*TERM, "idf"), TERM, "inner").withColumn("_raw", F.col("cnt") * F.col("idf"))
     keep = _keep_cols(docs)
-    norms = j.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return (j.join(norms, "doc_id").withColumn("value", F.col("_raw") / F.col("_norm"))
-            .select(*keep, *TERM, "cnt", "idf", "value"))
+    # one shuffle by document; a document's distinct terms are its own few rows
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("doc_id")))
+    return j.withColumn("value", F.col("_raw") / norm).select(*keep, *TERM, "cnt", "idf", "value")
 
 
 def in_vocabulary(pairs: DataFrame, vocab: DataFrame) -> DataFrame:

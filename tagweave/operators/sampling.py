@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .select import global_index, kth_smallest, kth_smallest_many
 
 
@@ -26,12 +27,13 @@ def drop_broken(df: DataFrame, text: str = "text") -> DataFrame:
 def dedupe_first(df: DataFrame, key, order: str = "doc_id") -> DataFrame:
     """Keep the first row (smallest ``order``) of every ``key``.
 
-    Two steps, both skew-proof: a partial-aggregated ``min(order)`` per key
+    A null key marks no copy: such rows are all kept.  Two steps, both skew-proof: a partial-aggregated ``min(order)`` per key
     (a hot key collapses map-side to one row per task), then a left-semi join
     on the unique ``order`` column.
     """
     k = F.col(key) if isinstance(key, str) else key
-    firsts = df.groupBy(k.alias("_k")).agg(F.min(order).alias(order)).select(order)
+    lone = F.when(k.isNull(), F.col(order))
+    firsts = df.groupBy(k.alias("_k"), lone.alias("_lone")).agg(F.min(order).alias(order)).select(order)
     return df.join(firsts, order, "left_semi")
 
 
@@ -79,10 +81,12 @@ def split_by_position(df: DataFrame, order: str = "doc_id", train: float = 0.7,
     Two cut values are found with ``kth_smallest`` and applied as plain
     filters: no global window, no sort of the data.
     """
-    n = df.count()
+    # one pass over whatever made the rows; the rest reads this one column
+    keys = cut_lineage(df.select(order))
+    n = keys.count()
     train_end, test_start = split_points(n, train, test)
     # value at 0-based position p is the (p + 1)-th smallest
-    _, (c1, c2) = kth_smallest_many(df, order, [train_end + 1, test_start + 1])
+    _, (c1, c2) = kth_smallest_many(keys, order, [train_end + 1, test_start + 1])
     o = F.col(order)
     is_train = F.lit(True) if c1 is None else o < F.lit(c1)
     is_dev = F.lit(True) if c2 is None else o < F.lit(c2)
@@ -92,14 +96,15 @@ def split_by_position(df: DataFrame, order: str = "doc_id", train: float = 0.7,
 def row_range(df: DataFrame, order: str, start=None, end=None) -> DataFrame:
     """Rows at positions [start, end) in ``order`` order; a falsy end
     means all rows, start is clamped to end (the reference's rules)."""
-    n = df.count()
+    keys = cut_lineage(df.select(order))
+    n = keys.count()
     start = start or 0
     end = end or n
     end = min(end, n)
     if start > end:
         start = end
-    lo = _cut_below(df, order, start, n)
-    hi = _cut_below(df, order, end, n)
+    lo = _cut_below(keys, order, start, n)
+    hi = _cut_below(keys, order, end, n)
     o = F.col(order)
     cond = F.lit(True)
     if lo is not None:

@@ -19,7 +19,7 @@ from ..operators import evaluate as V
 from ..operators import search as R
 from ..operators import tagging as T
 from ..functions import naming as NM
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.tables import labelled_documents, table
 from . import corpus as K
 
@@ -37,11 +37,18 @@ def r6(c):
 # shared frames
 # ---------------------------------------------------------------------------
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain corpus (doc order, 70/10/20 split, default groups)."""
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain corpus with all its columns, for queries that read it once."""
     return K.build_corpus(spark, sf_dir, GROUPS)
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain corpus (doc order, 70/10/20 split, default groups): ids,
+    labels, splits and terms, cleaned and tagged once and written to the
+    shared folder, as every feature query reads it several times."""
+    return cut_lineage(K.build_corpus(spark, sf_dir, GROUPS).select("doc_id", "label", "split", "terms"))
+
+
 def train_values(spark, sf_dir, weights=None):
     docs = prepared(spark, sf_dir)
     values = L.pos_weighted(docs.where(F.col("split") == "train"), weights or WEIGHTS)
@@ -158,17 +165,17 @@ def q_union_sources(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def q_tag_tokens(spark, sf_dir):
-    d = prepared(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     return d.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"),
                     F.array_join(F.transform("tokens", lambda t: t["tag"]), " ").alias("tags"))
 
 
 def q_tag_stats_by_label(spark, sf_dir):
-    return T.tag_statistics(prepared(spark, sf_dir), "tokens", "label")
+    return T.tag_statistics(corpus(spark, sf_dir), "tokens", "label")
 
 
 def q_stopword_filter(spark, sf_dir):
-    d = prepared(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     kept = T.remove_stopwords(F.col("words"))
     return d.select("doc_id", F.size("words").cast("long").alias("n_words"),
                     F.size(kept).cast("long").alias("n_kept"), F.array_join(kept, " ").alias("kept"))
@@ -180,7 +187,7 @@ GROUP_WEIGHTS = {"A+R": 4, "N": 1, "V": 2, "E+!": 3}
 def q_group_tags(spark, sf_dir):
     """C3 + H16: tags mapped to the groups named by weight keys ("A+R")."""
     groups = NM.groups_from_weights(GROUP_WEIGHTS)
-    d = prepared(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     return d.select("doc_id", F.array_join(F.transform("tokens", lambda t: T.group_of(t["tag"], groups)), " ")
                     .alias("groups"))
 
@@ -206,7 +213,7 @@ def q_term_counts(spark, sf_dir):
 
 def q_binary_bow(spark, sf_dir):
     """I2 on the baseline's input: raw words, stopwords kept, no groups."""
-    d = prepared(spark, sf_dir).select("doc_id", F.transform("words", lambda w: F.struct(
+    d = corpus(spark, sf_dir).select("doc_id", F.transform("words", lambda w: F.struct(
         w.alias("word"), F.lit("").alias("grp"))).alias("raw"))
     return L.binary_bow(d, "raw").select("doc_id", "word", "value")
 
