@@ -10,7 +10,6 @@ Words of similar length are encoded side by side, one numpy lane each.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -18,7 +17,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tagweave.llm.common import CACHE_ENTRIES, map_texts
+from tagweave.llm.common import CACHE_ENTRIES, held, map_texts
 
 #: A cut before such a space never falls inside a token: the space joins what follows it.
 SAFE_CUT = re.compile(r"(?= \S)")
@@ -204,10 +203,9 @@ class Encoder:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder and word cache per worker process, shared by its tasks."""
-    return Encoder(path)
+    """The encoder and word cache of this worker process."""
+    return held(("bpe", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

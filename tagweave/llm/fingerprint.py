@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tagweave.llm.common import map_texts
-from tagweave.llm.near_dedup import HASHES, mix64, words_of
+from tagweave.llm.common import held, map_arrow, map_texts
+from tagweave.llm.near_dedup import WordHashes, mix64, words_of
 from tagweave.session import cut_lineage
 
 BITS = 256
@@ -35,7 +35,7 @@ _LANES = (np.arange(BITS // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9
 
 def simhash(text: str) -> bytes:
     """Fingerprint of a text; without words all bits are 0."""
-    h = HASHES.of(words_of(text))
+    h = held("hashes", WordHashes).of(words_of(text))
     if not len(h):
         return bytes(BITS // 8)
     if len(h) > 1:
@@ -82,7 +82,7 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
                 [pa.array(np.where(known, at, len(cuts)).astype(np.int32)), ids,
                  pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], schema=schema)
 
-    return cast.mapInArrow(run, "range int, doc_id long, packed binary")
+    return map_arrow(cast, run, "range int, doc_id long, packed binary")
 
 
 #: Columns that one document's comparison with the next gives.
@@ -152,7 +152,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             unfinished("tail", last)
             yield flush()
 
-    walked = cut_lineage(dealt.mapInArrow(walk, PAIR_DDL + more))
+    walked = cut_lineage(map_arrow(dealt, walk, PAIR_DDL + more))
     names = [f.name for f in T._parse_datatype_string(PAIR_DDL).fields]
     # At most one head and tail per range, and 4 ranges per shuffle partition.
     order = sorted(r["range"] for r in walked.filter("place = 'head'").select("range").collect())
@@ -173,7 +173,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(zip(*rows), names)],
                                                  names=names)
 
-    return walked.filter("place is null").select(names).unionByName(met.mapInArrow(finish, PAIR_DDL))
+    return walked.filter("place is null").select(names).unionByName(map_arrow(met, finish, PAIR_DDL))
 
 
 def compare_and_search(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import map_texts
+from tagweave.llm.common import map_arrow, map_texts
 
 #: Hash buckets of n-grams; the model is this many doubles per language.
 BUCKETS = 1 << 16
@@ -142,7 +142,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "bucket": pa.array(found, pa.int64()),
                                               "n": pa.array(counts[found], pa.int64())})
 
-    counted = sample.mapInArrow(run, "lang string, bucket long, n long") \
+    counted = map_arrow(sample, run, "lang string, bucket long, n long") \
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     column = {lang: i for i, lang in enumerate(languages)}

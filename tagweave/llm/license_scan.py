@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import map_texts
+from tagweave.llm.common import map_arrow, map_texts
 
 # Phrases that label a text wherever their words stand consecutively.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -112,7 +112,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[int,
         rows = [("", total)] + [(w.decode(), n) for w, n in seen.items()]
         yield pa.RecordBatch.from_pydict({"word": [r[0] for r in rows], "n": pa.array([r[1] for r in rows], pa.int64())})
 
-    parts = docs.select("text").mapInArrow(run, "word string, n long")
+    parts = map_arrow(docs.select("text"), run, "word string, n long")
     got = {r["word"]: r["n"] for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
     return got.get("", 0), {w.encode(): got.get(w, 0) for w in names}
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import map_texts
+from tagweave.llm.common import CACHE_ENTRIES, held, map_arrow, map_texts
 from tagweave.session import cut_lineage
 
 BANDS, BAND_ROWS = 32, 5
@@ -58,14 +58,11 @@ class WordHashes(dict):
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > CACHE_ENTRIES:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-HASHES = WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8."""
     # bytes.split() without arguments splits at exactly these six characters.
@@ -77,7 +74,7 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = HASHES.of(words)
+    h = held("hashes", WordHashes).of(words)
     n = min(width, len(h))
     count = len(h) - n + 1
     # Seeding with n keeps a short sequence apart from a shingle.
@@ -222,7 +219,7 @@ def _star_candidates(bucket: DataFrame, reps: DataFrame, threshold: float) -> Da
                 kept = part.filter(pa.array(got >= threshold - SLACK * error))
                 yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], schema=schema)
 
-    return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("a", "b", "ra", "rb", "na", "nb"), run, "a long, b long")
 
 
 class _Block:
@@ -323,7 +320,7 @@ def _cross_links(bucket: DataFrame, labels: DataFrame, reps: DataFrame, sets: Da
         if block is not None and (out := block.links()):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100) -> DataFrame:

@@ -10,7 +10,6 @@ packed again, until one partition holds it all or a round saves no bin.
 from __future__ import annotations
 
 import bisect
-import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.bpe_codec import byte_alphabet
-from tagweave.llm.common import CACHE_ENTRIES, ROW, map_texts, schema_of
+from tagweave.llm.common import CACHE_ENTRIES, ROW, held, map_arrow, map_texts, schema_of
 from tagweave.session import cut_lineage
 
 #: Pieces that one partition packs (narrow rows; a partition's bins stay in memory).
@@ -88,10 +87,9 @@ class SpacedTokenizer(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@functools.lru_cache(maxsize=2)
 def spaced_tokenizer(path: str) -> SpacedTokenizer:
-    """One tokenizer and word cache per worker process, shared by its tasks."""
-    return SpacedTokenizer(path)
+    """The tokenizer and word cache of this worker process."""
+    return held(("spaced", path), lambda: SpacedTokenizer(path))
 
 
 def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1,
@@ -220,7 +218,7 @@ def _pack_round(pool: DataFrame, groups: int, capacity: int, turn: int, give: bo
         cols += [pa.array(base + bin_of), pa.array(offset), pa.array(given[bin_of])]
         yield from pa.Table.from_arrays(cols, schema=arrow).to_batches(max_chunksize=10_000)
 
-    return pool.select(*keep).repartition(groups).mapInArrow(run, out)
+    return map_arrow(pool.select(*keep).repartition(groups), run, out)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.bpe_codec import SAFE_CUT, Vocabulary
-from tagweave.llm.common import CACHE_ENTRIES, map_texts
+from tagweave.llm.common import CACHE_ENTRIES, held, map_texts
 
 # Splitter states: in letters, digits, other marks; a space that waits for what follows; white
 # space; between words; one or two letters of a contraction to come.
@@ -340,10 +340,9 @@ class Counter:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    """One compiled tokenizer and cache per worker process, shared by its tasks."""
-    return Counter(path)
+    """The compiled tokenizer and cache of this worker process."""
+    return held(("count", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
