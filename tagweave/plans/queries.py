@@ -293,17 +293,20 @@ def q_block_union(spark, sf_dir):
 # predictions (deterministic nearest-centroid model) and metrics
 # ---------------------------------------------------------------------------
 
-def centroid_runs(spark, sf_dir, combos, n_delete):
+def centroid_runs(spark, sf_dir, combos, deletes):
+    """Predictions (narrow rows, written once) per feature-cut setting: the
+    corpus is built and its features are scored once for all settings."""
     docs = prepared(spark, sf_dir)
     sizes = L.class_sizes(docs)
-    values = V.grid_values(docs, combos).persist()
-    model = V.centroid_model(values, sizes, n_delete, len(combos))
-    return V.centroid_predict(values, docs, model, sorted(sizes), len(combos))
+    values = V.grid_values(docs, combos)
+    scored = cut_lineage(V.centroid_scores(values, sizes))
+    return {n: cut_lineage(V.centroid_predict(values, docs, V.centroid_cut(scored, sizes, n), sorted(sizes), len(combos)))
+            for n in deletes}
 
 
 def predictions(spark, sf_dir):
     """Predictions of the default weighting (one combo)."""
-    return centroid_runs(spark, sf_dir, [WEIGHTS], N_DELETE).drop("combo_id")
+    return centroid_runs(spark, sf_dir, [WEIGHTS], [N_DELETE])[N_DELETE].drop("combo_id")
 
 
 def _test(p):
@@ -356,8 +359,7 @@ def search_runs(spark, sf_dir):
     lab_map = F.create_map(*lab_items)
     groups_col = F.create_map(*sum([[F.lit(k), F.array(*[F.lit(t) for t in v])] for k, v in GROUPS.items()], []))
     blocks_col = F.create_map(*sum([[F.lit(k), F.lit(float(v))] for k, v in SEARCH_BLOCKS.items()], []))
-    for n_del in SEARCH_DELETES:
-        p = centroid_runs(spark, sf_dir, GRID, n_del)
+    for n_del, p in centroid_runs(spark, sf_dir, GRID, SEARCH_DELETES).items():
         acc = V.accuracy(p.where(F.col("split") != "dev"), ["combo_id", "split"])
         accs = (acc.groupBy("combo_id")
                 .agg(F.max(F.when(F.col("split") == "train", F.col("accuracy"))).alias("train_acc"),
@@ -476,12 +478,11 @@ def _baseline_report(kind):
 
 
 def q_grid_search(spark, sf_dir):
-    """MaxEnt over the canonical weightings of two groups (others
-    DEFAULT = 0), BoW .7 + POS .3, four concurrent fits."""
+    """MaxEnt over every weighting 1..2 of the four default groups, BoW
+    .7 + POS .3, four concurrent fits; multiples of a weighting share its fit."""
     from ..operators import models as M
-    groups = {"A": ["A"], "V": ["V"]}
-    train, test = _splits(spark, sf_dir, groups)
-    rows = M.grid_search(train, test, groups, 2, N_DELETE, {"bow": 0.7, "pos": 0.3}, parallelism=4)
+    train, test = _splits(spark, sf_dir)
+    rows = M.grid_search(train, test, GROUPS, 2, N_DELETE, {"bow": 0.7, "pos": 0.3}, parallelism=4)
     _release(train, test)
     return spark.createDataFrame(rows, "combo_id long, weights string, train_acc double, test_acc double, "
                                        "macro_f1 double")
