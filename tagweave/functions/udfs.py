@@ -60,7 +60,8 @@ SQL_ENTITIES = [
 ]
 
 
-# References of every kind and what they stand for, for checks.
+# References and escapes of every kind and what they stand for, for checks.
+ESCAPE_SAMPLE = (" \\u00e9\\x41\\U0001F600\\n ", " éA😀\\n ")
 ENTITY_SAMPLE = (" &eacute;&#8217;&#x2026;&hellip;&lt;&notin; ", " é’……<∉ ")
 
 

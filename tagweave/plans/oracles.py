@@ -6,7 +6,7 @@ import re
 
 from ..functions import cleaning as C
 from ..functions import patterns as P
-from ..functions.udfs import ENTITY_SAMPLE, sql_unescape_entities
+from ..functions.udfs import ENTITY_SAMPLE, ESCAPE_SAMPLE, sql_unescape_entities
 from . import oracle_sql as O
 from ..functions import naming as NM
 from ..operators import search as R
@@ -505,6 +505,7 @@ ORACLES = {
                           " AS text_out FROM (SELECT doc_id, " + C.sql_normalise_whitespace("text") +
                           " AS w FROM documents)",
     "strip_backslash": _per_doc(C.sql_strip_backslash(C.sql_normalise_whitespace("{x}"))),
+    "unicode_repair": f"SELECT conv_id, turn, replace(text, ' the ', {O.q(ESCAPE_SAMPLE[1])}) AS text_out FROM conversations",
     "entity_decode": _per_doc(
         "replace(" + sql_unescape_entities("replace({x}, ' the ', chr(1))") + f", chr(1), {O.q(ENTITY_SAMPLE[1])})",
         "pages", "page_id", "html"),

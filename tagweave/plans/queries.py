@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..functions.udfs import ENTITY_SAMPLE
+from ..functions.udfs import ENTITY_SAMPLE, ESCAPE_SAMPLE
 from ..operators import longform as L
 from ..operators import sampling as S
 from ..operators import evaluate as V
@@ -499,9 +499,10 @@ def q_fit_or_load(spark, sf_dir):
 
 
 def q_unicode_repair(spark, sf_dir):
-    """H13 on the conversation texts."""
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", K.repair_escapes(F.col("text")).alias("text_out"))
+    """H13 on the conversation texts with escapes of every kind put between
+    their words."""
+    text = F.replace("text", F.lit(" the "), F.lit(ESCAPE_SAMPLE[0]))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", K.repair_escapes(text).alias("text_out"))
 
 
 QUERIES = {

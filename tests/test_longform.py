@@ -78,3 +78,20 @@ def test_ml_path_agrees_with_long_form(spark, docs):
     assert by_key["A\u001fgood"] == pytest.approx(175.5829904)
     assert by_key["N\u001fdog"] == pytest.approx(159.78052126)
     assert sorted(k for k, m in zip(ff.vocabulary, mask) if m) == ["A\u001fgood", "N\u001fdog"]
+
+
+def test_estimators_agree_with_long_form(spark, docs):
+    """I4 and I5 as Estimators, saved and loaded, against the long form."""
+    from tagweave.operators.features import OCFSSelector, PosWeightedVectorizer, keys_stage
+    keyed = keys_stage().transform(docs)
+    vectorizer = PosWeightedVectorizer(inputCol="term_keys", outputCol="pos", weights='{"A": 4, "N": 1}').fit(keyed)
+    vocabulary = vectorizer.stages[0].vocabulary
+    rows = vectorizer.transform(keyed)
+    got = {(r["doc_id"], vocabulary[i]): v for r in rows.collect() for i, v in enumerate(r["pos"].toArray()) if v}
+    values = L.pos_weighted(docs, W)
+    want = {(r["doc_id"], f"{r['grp']}\u001f{r['word']}"): r["value"] for r in values.collect() if r["value"]}
+    assert got == pytest.approx(want)
+    selected = OCFSSelector(inputCol="pos", outputCol="sel", labelCol="label", numToDelete=2).fit(rows).transform(rows)
+    kept = {vocabulary[i] for r in selected.collect() for i, v in enumerate(r["sel"].toArray()) if v}
+    long = L.ocfs_keep(L.ocfs_scores(values, L.class_sizes(docs)), 2).where("kept").collect()
+    assert kept == {f"{r['grp']}\u001f{r['word']}" for r in long}

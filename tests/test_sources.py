@@ -103,3 +103,17 @@ def test_result_lists_by_first_line(spark, tmp_path):
     assert (a["metric"], a["weights"], a["train_acc"], a["test_acc"], a["macro_f1"]) == \
         ("accuracy", "{'A': 2, 'V': 1}", 0.91, 0.65, 0.6)
     assert (f["metric"], f["macro_f1"]) == ("f1", 0.7012)
+
+
+def test_labels_join_only_equal_counts(spark, tmp_path):
+    from tagweave.sources import conll
+    path = _write(tmp_path / "t.txt", "a\tN\n\nb\tV\n\n")
+    tokens = conll.read_conll(spark, path)
+    labels = spark.createDataFrame([(0, "x"), (1, "y")], "doc_pos long, label string")
+    joined = {r["label"]: r["tokens"][0]["word"] for r in conll.join_labels(tokens, labels).collect()}
+    assert joined == {"x": "a", "y": "b"}
+    try:
+        conll.join_labels(tokens, labels.limit(1))
+    except ValueError:
+        return
+    raise AssertionError("unequal counts must not be joined")
