@@ -23,6 +23,8 @@ GAMMA = 1.02
 ZERO_BUCKET = -1_000_000
 #: Documents below which a group's own sketch is not used.
 MIN_GROUP = 200
+#: Groups (about 100 bytes each) whose fences are broadcast at most.
+BROADCAST_GROUPS = 50_000
 #: Interquartile ranges beyond the quartiles at which a fence stands.
 FENCE = 5.0
 #: Measure -> (allowance below the lower fence or None, allowance above the upper fence).
@@ -131,11 +133,17 @@ def fences(sketched: DataFrame) -> DataFrame:
         out.append(F.max(F.when(mine, F.col("q.q75") + spread + above)).alias(f"{m}_hi"))
         if below is not None:
             out.append(F.max(F.when(mine, F.col("q.q25") - spread - below)).alias(f"{m}_lo"))
-    return chosen.groupBy("lang", "source").agg(*out)
+    return cut_lineage(chosen.groupBy("lang", "source").agg(*out))  # a row per group
 
 
 def judge(measured: DataFrame, learned: DataFrame) -> DataFrame:
-    """``measured`` plus ``kept``: not ``base_failed`` and inside every fence of its group."""
+    """``measured`` plus ``kept``: not ``base_failed`` and inside every fence of its group.
+
+    Up to ``BROADCAST_GROUPS`` groups travel to the documents; beyond that the documents are
+    shuffled by group, and Spark splits the hot ones.
+    """
+    if learned.count() <= BROADCAST_GROUPS:
+        learned = F.broadcast(learned)
     f = learned.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = measured.join(f, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     inside = F.lit(True)
