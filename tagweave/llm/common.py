@@ -11,6 +11,7 @@ Conventions that every operator of the subpackage keeps:
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries a word cache holds before it starts anew (bounds memory, not results).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 #: Rows and bytes of a batch that travels between Spark and Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -65,7 +66,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from fn(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc: freed memory goes back
+            if trim:
+                trim(0)
 
     return df.mapInArrow(run, schema)
 
