@@ -29,6 +29,11 @@ from tagweave.llm.near_dedup import WordHashes, mix64, words_of
 from tagweave.session import cut_lineage
 
 BITS = 256
+#: Bits within which the search finds fingerprints: one changed word of a 248-word text (the
+#: median) alters 2 of its word pairs, a cosine of 0.992, about 10 of ``BITS`` bits.
+SEARCH_RADIUS = 12
+#: Fingerprints of one leading block that are compared with a query in one row, about.
+PACK = 1 << 14
 
 _LANES = (np.arange(BITS // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,18 +181,51 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return walked.filter("place is null").select(names).unionByName(map_arrow(met, finish, PAIR_DDL))
 
 
-def compare_and_search(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
-    """``compare_with_next`` and, for documents whose id ``every`` divides, ``n_near``.
+def classes(prints: DataFrame) -> DataFrame:
+    """``fingerprint, representative, n_docs``: one row per distinct fingerprint.
 
-    ``n_near`` is the number of other distinct fingerprints of the corpus within ``radius`` bits
-    of the document's; it is null for all other documents.
+    ``representative`` is the least ``doc_id`` that has it (null if all are null), ``n_docs`` the
+    number of rows.  Tasks pre-aggregate, so a fingerprint of many copies is one row per task.
     """
-    made = cut_lineage(compare_with_next(docs))  # narrow rows, read three times
+    return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n_docs"))
+
+
+def _class_hits(made: DataFrame, prints: DataFrame, radius: int, every: int) -> DataFrame:
+    """``near_fingerprints`` of the documents whose id ``every`` divides, with the class of each hit."""
+    found = near_fingerprints(made, prints.filter(F.col("doc_id") % every == 0), radius)
+    return found.join(classes(made), "fingerprint")
+
+
+def near_hits(docs: DataFrame, radius: int = SEARCH_RADIUS, every: int = 20) -> DataFrame:
+    """``query, representative, distance, n_docs``: every class of equal fingerprints within ``radius``
+    bits of a class that holds a document whose id ``every`` divides.
+
+    ``query`` and ``representative`` are the least ids of the two classes; each class finds itself
+    at distance 0, so a group of exact copies is one row with their number.
+    """
+    prints = cut_lineage(fingerprints(docs).withColumn("doc_id", F.col("doc_id").cast("long")))  # read three times
+    asking = classes(prints).select(F.col("fingerprint").alias("query_print"), F.col("representative").alias("query"))
+    hits = _class_hits(prints, prints, radius, every).withColumnRenamed("query", "query_print")
+    return hits.join(asking, "query_print").select("query", "representative", "distance", "n_docs")
+
+
+def compare_and_search(docs: DataFrame, radius: int = SEARCH_RADIUS, every: int = 20) -> DataFrame:
+    """``compare_with_next``, the document's class, and what lies near the documents that ask.
+
+    ``representative`` is the least id and ``n_equal`` the number of the other documents with an
+    equal fingerprint.  For documents whose id ``every`` divides, ``n_near`` is the number of
+    other distinct fingerprints of the corpus within ``radius`` bits and ``n_near_docs`` that of
+    other documents, those with an equal fingerprint included; both are null for all others.
+    """
+    made = cut_lineage(compare_with_next(docs))  # narrow rows, read four times
     asked = F.col("doc_id") % every == 0
-    found = near_fingerprints(made, made.filter(asked), radius).filter(F.col("query") != F.col("fingerprint")) \
-        .groupBy(F.col("query").alias("__query")).agg(F.count("*").alias("found"))
-    return made.join(found, F.col("fingerprint") == F.col("__query"), "left") \
-        .select(*made.columns, F.when(asked, F.coalesce("found", F.lit(0))).alias("n_near"))
+    found = _class_hits(made, made, radius, every).groupBy(F.col("query").alias("__query")) \
+        .agg(F.sum((F.col("distance") > 0).cast("long")).alias("found"), F.sum("n_docs").alias("found_docs"))
+    of_class = classes(made).withColumnsRenamed({"fingerprint": "__own", "n_docs": "of_class"})
+    per_print = of_class.join(found, F.col("__own") == F.col("__query"), "left")
+    return made.join(per_print, F.col("fingerprint") == F.col("__own"), "left").select(
+        *made.columns, "representative", (F.col("of_class") - 1).alias("n_equal"),
+        F.when(asked, F.col("found")).alias("n_near"), F.when(asked, F.col("found_docs") - 1).alias("n_near_docs"))
 
 
 def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, bits: int = BITS) -> DataFrame:
@@ -196,24 +234,55 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, bi
     ``prints`` and ``queries`` have a hex column ``fingerprint``; both are made distinct first,
     so copies meet once.  A query's own fingerprint is part of its result where ``prints`` has it.
     Null fingerprints match nothing.  Exact: the tables miss no pair within the radius.
+
+    Fingerprints that share a leading block meet a query as one array (about ``PACK`` at most,
+    however many share it) and are compared inside the row; only hits become rows.
     """
     blocks = radius + 1
     digits = bits // 4
     edges = [round(i * digits / blocks) for i in range(blocks + 1)]
+    starts = range(0, digits, 16)
+
+    def words_of_hex(column: Column) -> Column:
+        """The fingerprint as longs of 16 digits, the last of what is left."""
+        def number(at, n):
+            return F.conv(F.substring(column, at + 1, n), 16, 10).cast("long")
+        made = []
+        for i, at in enumerate(starts):
+            n = min(16, digits - at)
+            word = number(at, n) if n <= 8 else F.shiftleft(number(at, n - 8), 32).bitwiseOR(number(at + n - 8, 8))
+            made.append(word.alias(f"w{i}"))
+        return F.struct(*made)
+
+    def hex_of_words(words: Column) -> Column:
+        return F.concat(*[F.lpad(F.lower(F.hex(words[f"w{i}"])), min(16, digits - at), "0") for i, at in enumerate(starts)])
 
     def permuted(column: Column) -> Column:
-        """(block number, leading block, the rest in the order that the permutation gives)."""
+        """(block number, leading block) of every table."""
         return F.array(*[F.struct(F.lit(i).alias("block"), F.substring(column, edges[i] + 1, edges[i + 1] - edges[i])
                                   .alias("lead")) for i in range(blocks)])
 
-    def table_of(df: DataFrame, name: str) -> DataFrame:
-        once = df.select(F.col("fingerprint").alias(name)).filter(F.col(name).isNotNull()).distinct()
-        return once.select(name, F.inline(permuted(F.col(name))))
-
-    met = table_of(queries, "query").join(table_of(prints, "fingerprint"), ["block", "lead"]) \
-        .select("query", "fingerprint").distinct()
-    words = [F.bit_count(F.conv(F.substring("query", i, 8), 16, 10).cast("long")
-                         .bitwiseXOR(F.conv(F.substring("fingerprint", i, 8), 16, 10).cast("long")))
-             for i in range(1, digits + 1, 8)]
-    distance = sum(words[1:], words[0]).cast("int")
-    return met.withColumn("distance", distance).filter(F.col("distance") <= radius)
+    def once(df: DataFrame) -> DataFrame:
+        return df.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct()
+
+    distinct = cut_lineage(once(prints).select("fingerprint", words_of_hex(F.col("fingerprint")).alias("words")))
+    packs = max(1, -(-distinct.count() // PACK))
+    # Also a block that all fingerprints share is dealt to packs of bounded size.
+    tables = distinct.select("words", F.pmod(F.xxhash64("words"), F.lit(packs)).alias("pack"),
+                             F.inline(permuted(F.col("fingerprint")))) \
+        .groupBy("block", "lead", "pack").agg(F.collect_list("words").alias("prints"))
+    asking = once(queries).select(F.col("fingerprint").alias("query"), words_of_hex(F.col("fingerprint")).alias("own"),
+                                  F.inline(permuted(F.col("fingerprint"))))
+
+    def distance(p: Column) -> Column:
+        bits_apart = [F.bit_count(F.col(f"own.w{i}").bitwiseXOR(p[f"w{i}"])) for i in range(len(starts))]
+        return sum(bits_apart[1:], bits_apart[0]).cast("int")
+
+    met = asking.join(tables, ["block", "lead"]).select("block", "query", F.inline(F.transform(
+        F.filter("prints", lambda p: distance(p) <= radius),
+        lambda p: F.struct(hex_of_words(p).alias("fingerprint"), distance(p).alias("distance")))))
+    # A pair that agrees in several blocks is a hit of the first of them alone.
+    agreeing = F.coalesce(*[F.when(F.substring("query", edges[i] + 1, edges[i + 1] - edges[i])
+                                   == F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i]), i)
+                            for i in range(blocks)])
+    return met.filter(F.col("block") == agreeing).select("query", "fingerprint", "distance")

@@ -69,10 +69,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of every document, of its edited text, and likeness to that and the next document;
-    for ids divisible by 20 also how many other fingerprints lie within three bits."""
-    from tagweave.llm.fingerprint import compare_and_search
-    return compare_and_search(table(spark, sf_dir, "documents"), radius=3, every=20)
+    """SimHash of every document, of its edited text, likeness to that and the next document, and
+    its class of equal fingerprints; for ids divisible by 20 also how many other fingerprints and
+    documents lie within twelve bits."""
+    from tagweave.llm.fingerprint import SEARCH_RADIUS, compare_and_search
+    return compare_and_search(table(spark, sf_dir, "documents"), radius=SEARCH_RADIUS, every=20)
+
+
+def op7_near_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class of equal fingerprints within twelve bits of that of an id divisible by 20."""
+    from tagweave.llm.fingerprint import SEARCH_RADIUS, near_hits
+    return near_hits(table(spark, sf_dir, "documents"), radius=SEARCH_RADIUS, every=20)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +107,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_license_scan, op5_language_id, op6_quality_rules,
-                                   op7_fingerprints, op8_secret_scan, op9_near_dedup, op10_bpe_codec, pipeline)}
+                                   op7_fingerprints, op7_near_hits, op8_secret_scan, op9_near_dedup, op10_bpe_codec,
+                                   pipeline)}
 

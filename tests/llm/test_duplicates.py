@@ -8,6 +8,7 @@ import re
 import numpy as np
 
 from tagweave.llm import fingerprint, near_dedup
+from tagweave.llm.queries import QUERIES
 from tests.llm.cases import documents, empty, frame
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -163,6 +164,36 @@ def test_search_counts_every_fingerprint_within_the_radius(spark):
     assert any(r["n_near"] for r in got)
 
 
+def test_registered_search_finds_one_word_edits_and_counts_copies(spark, tmp_path):
+    draw = random.Random(3)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    texts = []
+    for _ in range(10):
+        words = draw.choices(vocabulary, k=400)
+        edited = list(words)
+        edited[200] = "changed"
+        texts += [" ".join(words)] * 3 + [" ".join(edited)]
+    rows = [{"doc_id": 20 * i, "text": t, "lang": "en", "source": "s", "n_chars": len(t)} for i, t in enumerate(texts)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    prints = {20 * i: fingerprint.simhash(t).hex() for i, t in enumerate(texts)}
+    first = {p: min(i for i in prints if prints[i] == p) for p in prints.values()}
+    size = collections.Counter(prints.values())
+
+    def apart(a, b):
+        return (int(a, 16) ^ int(b, 16)).bit_count()
+
+    got = QUERIES["op7_fingerprints"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = prints[r["doc_id"]]
+        near = {p for p in size if apart(p, own) <= 12}
+        assert (r["representative"], r["n_equal"]) == (first[own], size[own] - 1)
+        assert (r["n_near"], r["n_near_docs"]) == (len(near) - 1, sum(size[p] for p in near) - 1)
+    assert sum(r["n_near"] > 0 for r in got) >= len(got) // 2
+    hits = collections.Counter(tuple(r) for r in QUERIES["op7_near_hits"](spark, str(tmp_path)).collect())
+    assert hits == collections.Counter((first[a], first[b], apart(a, b), size[b]) for a in size for b in size if apart(a, b) <= 12)
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     draw = random.Random(9)
     base = [draw.getrandbits(fingerprint.BITS) for _ in range(20)]
