@@ -80,3 +80,21 @@ def test_grids_beyond_one_chunk(spark, monkeypatch):
     monkeypatch.setattr(L, "GRID_CHUNK", 4)
     assert sorted(map(tuple, V.grid_values(docs, combos).collect())) == whole
     assert sorted(map(tuple, L.ocfs_grid(docs, combos, {"x": 1, "y": 1}).collect())) == scores
+
+
+def test_registered_maxent_search_covers_the_reference_grid(spark, monkeypatch):
+    from tagweave.operators import search as R
+    from tagweave.operators import models as M
+    from tagweave.plans import queries as Q
+    fitted = []
+    frames = spark.range(1), spark.range(1)
+    monkeypatch.setattr(Q, "_splits", lambda *a: frames)
+    monkeypatch.setattr(M, "FusedFeatures", lambda train: None)
+    monkeypatch.setattr(M, "fit_fused", lambda train, w, *a: fitted.append(tuple(w.values())) or w)
+    monkeypatch.setattr(M, "scores", lambda w, train, test: (0.5, w["R"] / 10, 0.5))
+    rows = {r["weights"]: r for r in Q.QUERIES["grid_search"](spark, "").collect()}
+    assert len(fitted) == len(set(fitted)) == 607 and len(rows) == 625
+    for w in weight_grid(Q.GROUPS, 5, canonical=False):
+        assert R.weights_label(w) in rows
+    three = R.weights_label({**dict.fromkeys(Q.GROUPS, 1), "A": 5, "V": 5, "R": 3})
+    assert rows[three]["test_acc"] == 0.3
