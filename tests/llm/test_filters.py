@@ -75,6 +75,31 @@ def test_templates_generalise_merge_and_reject(spark):
     assert "*" in got[at["http://h.test/user/nameaa/x"]]["template"]
 
 
+def test_crowded_and_deep_branches_keep_their_verdict(spark):
+    pages, labels = [], []
+
+    def add(url, bad, n):
+        for i in range(n):
+            pages.append((len(pages), f"{url}/{i}"))
+            labels.append((len(pages) - 1, bad))
+
+    add("http://crowd.test/spam", True, 40)
+    for a in "abcdef":
+        for b in "abcdef":
+            add(f"http://crowd.test/part{a}{b}", False, 12)
+    add("http://crowd.test/seldom", True, 1)
+    add("http://deep.test/a/b/c/d/e/bad/f", True, 40)
+    add("http://deep.test/a/b/c/d/e/good/f", False, 40)
+    add("http://deep.test/a/b/c/d/fine", False, 40)
+    got = {r["page_id"]: r for r in url_filter.judge_urls(
+        spark.createDataFrame(pages, "page_id long, url string"), [],
+        spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    assert len(got) == len(pages)
+    bad = dict(labels)
+    for i, url in pages:
+        assert got[i]["verdict"] == ("block" if bad[i] and "seldom" not in url else "allow"), url
+
+
 # --- operator 4 -----------------------------------------------------------------------------
 
 def test_license_phrases(spark):
