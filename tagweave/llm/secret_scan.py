@@ -31,7 +31,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth")
 CONTEXT = re.compile(
     r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key"
-    r"|credentials?|auth(?:orization)?(?:[_ -]?(?:key|token))?)[\"']?[ \t]{0,4}(?:[:=]>?|->|\bis\b)[ \t]{0,4}"
+    r"|credentials?|auth(?:orization)?(?:[_ -]?(?:key|token))?)[\"']?[ \t]*(?:[:=]>?|->|\bis\b)[ \t]*"
     r"(?:bearer )?[\"']?([^\s\"'<>|,;]{6,})", re.IGNORECASE | re.ASCII)
 
 #: log10 guesses from which a value in credential context is a secret.
@@ -56,6 +56,12 @@ LEET = str.maketrans("@4831!05$7", "aabelioss" + "t")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?"
                   r"|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
 
+#: Characters and sizes of the classes that a brute-force guesser draws from; any other: ``OTHERS``.
+CLASSES = (("0123456789", 10), ("abcdefghijklmnopqrstuvwxyz", 26), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26),
+           ("._-/:", 5), ("!\"#$%&'()*+,;<=>?@[\\]^`{|}~ ", 28))
+OTHERS = 100
+CLASS_OF = {c: i for i, (chars, _) in enumerate(CLASSES) for c in chars}
+
 #: log10 of what each segment beyond the first costs a guesser.
 SEAM = math.log10(2)
 
@@ -120,20 +126,34 @@ def _segments(value: str) -> list[list[tuple[int, float]]]:
     return out
 
 
-def log_guesses(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of the value."""
+def log_alphabet(value: str) -> float:
+    """log10 of the size of all character classes that the value draws from."""
+    found = {CLASS_OF.get(c) for c in value}
+    return math.log10(sum(OTHERS if i is None else CLASSES[i][1] for i in found)) if found else 0.0
+
+
+def log_guesses(value: str, each: float = 1.0) -> float:
+    """log10 of the guesses of the cheapest segmentation of the value.
+
+    ``each`` is the log10 of the guesses of a brute-force character.
+    """
     n = len(value)
     best = [0.0] + [math.inf] * n
     found = _segments(value)
     for i in range(n):
         here = best[i] + (SEAM if i else 0.0)
         for j in range(i + 1, min(n, i + MAX_SEGMENT) + 1):
-            best[j] = min(best[j], here + (j - i))  # brute force: ten guesses a character
+            best[j] = min(best[j], here + (j - i) * each)  # brute force
         for j, cost in found[i]:
             best[j] = min(best[j], here + cost)
     return best[n]
 
 
+def is_secret(value: str) -> bool:
+    """Whether the value stays expensive, brute force priced by the character classes it draws from."""
+    return log_guesses(value, log_alphabet(value)) >= MIN_LOG_GUESSES
+
+
 _HEX_SHAPE = bytes(48 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _HEX_RUN = b"0" * 16
 
@@ -160,7 +180,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span(1)
             value = m[1].rstrip(".):]}")
             b = a + len(value)
-            if len(value) >= 6 and not any(s < b and a < e for s, e, _ in taken) and log_guesses(value) >= MIN_LOG_GUESSES:
+            if len(value) >= 6 and not any(s < b and a < e for s, e, _ in taken) and is_secret(value):
                 out.append((a, b, "guess"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

@@ -246,6 +246,14 @@ def test_guess_costs():
         assert cost(a + b) <= min(len(a + b), cost(a) + cost(b) + secret_scan.SEAM) + 1e-9
 
 
+def test_short_random_values_and_aligned_columns_are_found():
+    for value in ("xK9#mQ2z", "xK9#mQ", "r7Kq2v", "xK9mQ2"):
+        for text in (f"password: {value}", f"password          =          {value}"):
+            assert [(text[a:b], k) for a, b, k in secret_scan.spans_of(text)] == [(value, "guess")], text
+    for weak in ("password123", "qwertyuiop", "2024-01-15", "aaaaaaaaaaaa", "required", "changeme1", "Monday2024", "12345678"):
+        assert not secret_scan.is_secret(weak), weak
+
+
 def test_method_spans_and_redaction(spark):
     text = "the password is x8Kq!29zLpWv. and the secret is required; token = \"04dbebab91ab8568\" end"
     spans = secret_scan.spans_of(text)
