@@ -1,7 +1,8 @@
 """DuckDB SQL of the queries of this subpackage that SQL can express.
 
-Both statements say what the result is, not how the operators find it: near-duplicates by
-counting shared shingles of every pair, quality measures by unnesting words and lines.
+The statements say what the result is, not how the operators find it: near-duplicates by
+counting shared shingles of every pair, quality measures by unnesting words and lines, nearest
+centroids by measuring all of them, divergences over the full grid of groups and terms.
 """
 
 from __future__ import annotations
@@ -116,4 +117,92 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM measured m LEFT JOIN outside o ON o.doc_id = m.doc_id"""
 
 
-ORACLES = {"op6_quality_rules": quality_rules(), "op9_near_dedup": NEAR_DUPLICATES}
+def centroid_clusters(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
+    """Assignments after ``rounds`` rounds; every distance is measured."""
+    def assigned(step: int) -> str:
+        return f"""
+far{step} AS MATERIALIZED (
+  SELECT x.row, x.vec_id, x.v, c.cluster,
+         list_sum(list_transform(range(1, {dim} + 1), lambda i: (x.v[i] - c.c[i]) * (x.v[i] - c.c[i])))::BIGINT AS distance
+  FROM kept x CROSS JOIN centroid{step} c
+),
+assigned{step} AS MATERIALIZED (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, cluster) AS r FROM far{step}) WHERE r = 1
+)"""
+
+    steps = []
+    for step in range(rounds):
+        steps.append(f"""{assigned(step)},
+sums{step} AS (
+  SELECT cluster, i, sum(v[i])::HUGEINT AS total, count(*)::HUGEINT AS n
+  FROM (SELECT cluster, v, unnest(range(1, {dim} + 1)) AS i FROM assigned{step}) GROUP BY cluster, i
+),
+moved{step} AS (
+  SELECT cluster, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM sums{step} GROUP BY cluster
+),
+centroid{step + 1} AS MATERIALIZED (
+  SELECT o.cluster, coalesce(m.c, o.c) AS c FROM centroid{step} o LEFT JOIN moved{step} m ON m.cluster = o.cluster
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}
+),
+centroid0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INTEGER AS cluster, v AS c
+  FROM kept WHERE vec_id IS NOT NULL QUALIFY cluster < {k}
+),{",".join(steps)},{assigned(rounds)}
+SELECT vec_id, a.cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM assigned{rounds} a JOIN centroid{rounds} c ON c.cluster = a.cluster"""
+
+
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+SOURCE_DIVERGENCE = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({LOWER}, '{TERM}') AS ts FROM documents
+),
+used AS MATERIALIZED (SELECT row, lang, source, unnest(ts) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term FROM used GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+counts AS MATERIALIZED (
+  SELECT u.lang, u.source, u.term, count(*) AS n FROM used u JOIN kept k ON k.lang = u.lang AND k.term = u.term GROUP BY 1, 2, 3
+),
+in_lang AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM counts GROUP BY 1, 2),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+terms AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+whole AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)
+         + 5 * coalesce((SELECT v FROM terms t WHERE t.lang = g.lang), 0) AS d FROM groups g
+),
+whole_lang AS MATERIALIZED (SELECT lang, sum(n) + 5 * count(*) AS d FROM in_lang GROUP BY lang),
+grid AS MATERIALIZED (
+  SELECT w.lang, w.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // w.d AS p
+  FROM whole w JOIN kept k ON k.lang = w.lang
+  LEFT JOIN counts c ON c.lang = w.lang AND c.source = w.source AND c.term = k.term
+),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT g.lang, g.source, 'term', g.term, (g.p - q)::BIGINT
+  FROM grid g JOIN (SELECT i.lang, i.term, 1 + (1000000000::HUGEINT * (i.n + 5)) // w.d AS q
+                    FROM in_lang i JOIN whole_lang w ON w.lang = i.lang) l ON l.lang = g.lang AND l.term = g.term
+  WHERE g.n > 0 AND g.p > q
+)
+SELECT * FROM (
+  SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM found
+) WHERE part = 'pair' OR rank <= 50"""
+
+
+ORACLES = {"op6_quality_rules": quality_rules(), "op9_near_dedup": NEAR_DUPLICATES,
+           "op12_centroid_clusters": centroid_clusters(), "op13_source_divergence": SOURCE_DIVERGENCE}

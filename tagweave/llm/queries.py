@@ -100,6 +100,24 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: 64-bit SimHash, three or fewer differing bits."""
+    from tagweave.llm.pivot_dedup import pivot_duplicates
+    return pivot_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 16 clusters after three rounds."""
+    from tagweave.llm.centroids import cluster_vectors
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, salt="1:")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its leading terms."""
+    from tagweave.llm.divergence import audit_sources
+    return audit_sources(table(spark, sf_dir, "documents"), min_docs=30, ranks=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
@@ -108,5 +126,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_license_scan, op5_language_id, op6_quality_rules,
                                    op7_fingerprints, op7_near_hits, op8_secret_scan, op9_near_dedup, op10_bpe_codec,
-                                   pipeline)}
+                                   op11_pivot_dedup, op12_centroid_clusters, op13_source_divergence, pipeline)}
 
