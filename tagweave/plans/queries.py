@@ -480,12 +480,14 @@ def _baseline_report(kind):
 
 def q_grid_search(spark, sf_dir):
     """MaxEnt over every weighting 1..5 of the four default groups (625
-    points, 607 fits), BoW .7 + POS .3, four concurrent fits; multiples of a
-    weighting share its fit."""
-    from ..operators import models as M
+    points, 607 fits), BoW .7 + POS .3, fitted in shared passes; multiples
+    of a weighting share its fit."""
+    from ..operators.grid_fit import grid_search
     train, test = _splits(spark, sf_dir)
-    rows = M.grid_search(train, test, GROUPS, SEARCH_SCALE, N_DELETE, {"bow": 0.7, "pos": 0.3}, parallelism=4)
-    _release(train, test)
+    try:
+        rows = grid_search(train, test, GROUPS, SEARCH_SCALE, N_DELETE, {"bow": 0.7, "pos": 0.3})
+    finally:
+        _release(train, test)
     return spark.createDataFrame(rows, "combo_id long, weights string, train_acc double, test_acc double, "
                                        "macro_f1 double")
 
