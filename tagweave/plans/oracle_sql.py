@@ -164,16 +164,18 @@ ocfs AS (SELECT {keys}, {ocfs_score_sql()} AS score FROM pivoted)"""
 
 
 def percentile_cte(src: str, col: str, rank_pct_expr: str) -> str:
-    """Linear percentile by hand (the percentile argument is not constant)."""
+    """Linear percentile by hand (the percentile argument is not constant).  The two order statistics
+    come from one pass over the ranks: a join of the ranks with themselves is a cross product when
+    the planner puts it before their conditions."""
     return f"""ranked AS (
   SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS i, count(*) OVER () AS p FROM {src}
 ),
 pq AS (SELECT ({rank_pct_expr}) / 100.0 * (max(p) - 1) AS h FROM ranked),
-cut AS (
-  SELECT CASE WHEN lo.v = hi.v THEN lo.v ELSE lo.v + (hi.v - lo.v) * (pq.h - floor(pq.h)) END AS cut
-  FROM pq, ranked lo, ranked hi
-  WHERE lo.i = floor(pq.h) AND hi.i = ceil(pq.h)
-)"""
+ends AS (
+  SELECT max(CASE WHEN r.i = floor(pq.h) THEN r.v END) AS lo, max(CASE WHEN r.i = ceil(pq.h) THEN r.v END) AS hi,
+         max(pq.h) AS h FROM ranked r, pq
+),
+cut AS (SELECT CASE WHEN lo = hi THEN lo ELSE lo + (hi - lo) * (h - floor(h)) END AS cut FROM ends)"""
 
 
 def with_(*ctes: str) -> str:

@@ -263,7 +263,7 @@ FROM weighted w JOIN kept k ON k.word = w.word AND k.grp = w.grp
 UNION ALL
 SELECT doc_id, 'tfidf', word, grp, round(value * {b['tfidf']!r}, 6) FROM tfidf WHERE split = 'train'"""
     # read by several branches: computed once
-    for name in ("cleaned", "terms", "counts", "all_counts", "weighted", "ocfs", "cut", "kept"):
+    for name in ("cleaned", "terms", "counts", "all_counts", "weighted", "class_sizes", "ocfs", "ranked", "cut", "kept"):
         sql = re.sub(rf"(?m)^{name} AS \(", f"{name} AS MATERIALIZED (", sql)
     return sql
 
@@ -397,6 +397,128 @@ SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(
        round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM pc"""
 
 
+def _grid5_ctes() -> list:
+    """Class sums and scores of every feature under every weighting of scale 5, one row per weighting
+    and term number; values count in whole units of 1e-12 like the Spark side's."""
+    weigh = " ".join(f"WHEN {O.q(g)} THEN k.w{i}" for i, g in enumerate(GROUPS))
+    units = ", ".join(f"coalesce(sum(floor(value * 1e12 + 0.5::DOUBLE)::HUGEINT) FILTER (WHERE label = {O.q(c)}), 0)::DOUBLE"
+                      f" / 1e12 AS s{i}" for i, c in enumerate(O.CLASSES))
+    return [f"""weightings(combo_id, {', '.join(f'w{i}' for i in range(len(GROUPS)))}) AS MATERIALIZED (
+  SELECT * FROM (VALUES {', '.join(f"({i}, {', '.join(f'{float(w[g])!r}::DOUBLE' for g in GROUPS)})" for i, w in enumerate(QQ.GRID5))})
+)""", """vocab AS MATERIALIZED (
+  SELECT word, grp, row_number() OVER () AS t FROM (SELECT DISTINCT word, grp FROM counts WHERE split = 'train')
+)""", """pairs AS MATERIALIZED (
+  SELECT c.doc_id, c.split, c.label, v.t, c.grp, c.cnt FROM counts c JOIN vocab v ON v.word = c.word AND v.grp = c.grp
+)""", f"""totals AS MATERIALIZED (
+  SELECT p.doc_id, k.combo_id, {' + '.join(f'n{i} * k.w{i}' for i in range(len(GROUPS)))} AS total
+  FROM (SELECT doc_id, {', '.join(f"coalesce(sum(cnt) FILTER (WHERE grp = {O.q(g)}), 0)::DOUBLE AS n{i}" for i, g in enumerate(GROUPS))}
+        FROM counts GROUP BY doc_id) p CROSS JOIN weightings k
+)""", f"""valued AS MATERIALIZED (
+  SELECT z.combo_id, p.doc_id, p.split, p.label, p.t,
+         CASE WHEN z.total > 0 THEN p.cnt * (CASE p.grp {weigh} ELSE 0.0::DOUBLE END) / z.total ELSE 0.0::DOUBLE END AS value
+  FROM pairs p JOIN totals z ON z.doc_id = p.doc_id JOIN weightings k ON k.combo_id = z.combo_id
+)""", f"""sums AS MATERIALIZED (SELECT combo_id, t, {units} FROM valued WHERE split = 'train' GROUP BY combo_id, t)""",
+            f"""scored AS MATERIALIZED (SELECT combo_id, t, s0, s1, s2, {O.ocfs_score_sql()} AS score FROM sums)"""]
+
+
+def _cut5_ctes(n_delete: int, tag: str) -> list:
+    return [f"""cut{tag} AS MATERIALIZED (
+  SELECT combo_id, CASE WHEN lo = hi THEN lo ELSE lo + (hi - lo) * (h - floor(h)) END AS cut FROM (
+    SELECT r.combo_id, any_value(q.h) AS h, max(CASE WHEN r.i = floor(q.h) THEN r.score END) AS lo,
+           max(CASE WHEN r.i = ceil(q.h) THEN r.score END) AS hi
+    FROM (SELECT combo_id, score, row_number() OVER (PARTITION BY combo_id ORDER BY score) - 1 AS i FROM scored) r
+    CROSS JOIN (SELECT round_even(least({n_delete}, count(*))::DOUBLE / count(*) * 100.0::DOUBLE, 0) / 100.0::DOUBLE
+                       * (count(*) - 1) AS h FROM vocab) q
+    GROUP BY r.combo_id)
+)"""]
+
+
+def _runs5_sql() -> str:
+    """All runs of scale 5, both feature cuts."""
+    ctes = [O.counts_cte().replace("counts AS (", "counts AS MATERIALIZED ("),
+            O.class_sizes_cte().replace("class_sizes AS (", "class_sizes AS MATERIALIZED ("), *_grid5_ctes()]
+    labels = ", ".join(f"({i}, {O.q(R.weights_label(w))})" for i, w in enumerate(QQ.GRID5))
+    ctes.append(f"wlabels(combo_id, weights) AS (SELECT * FROM (VALUES {labels}))")
+    parts = []
+    for j, n_del in enumerate(QQ.SEARCH_DELETES):
+        t = f"_{j}"
+        mean = [f"(s.s{i} / (SELECT n_c FROM class_sizes WHERE label = {O.q(c)}))" for i, c in enumerate(O.CLASSES)]
+        ctes += _cut5_ctes(n_del, t)
+        ctes.append(f"""model{t} AS MATERIALIZED (
+  SELECT s.combo_id, s.t, {', '.join(f'{m} AS m{i}' for i, m in enumerate(mean))}
+  FROM scored s JOIN cut{t} c ON c.combo_id = s.combo_id WHERE s.score >= c.cut AND s.s0 + s.s1 + s.s2 > 0
+),
+norms{t} AS MATERIALIZED (SELECT combo_id, {', '.join(f'sum(m{i} * m{i}) AS n{i}' for i in range(3))} FROM model{t} GROUP BY combo_id),
+dots{t} AS MATERIALIZED (
+  SELECT v.combo_id, v.doc_id, {', '.join(f'sum(v.value * m.m{i}) AS d{i}' for i in range(3))}
+  FROM valued v JOIN model{t} m ON m.combo_id = v.combo_id AND m.t = v.t WHERE v.value > 0 GROUP BY v.combo_id, v.doc_id
+),
+far{t} AS (
+  SELECT k.combo_id, s.doc_id, s.label, s.split,
+         {', '.join(f'round(coalesce(n.n{i}, 0) - 2.0::DOUBLE * coalesce(d.d{i}, 0), 9) AS x{i}' for i in range(3))}
+  FROM split_docs s CROSS JOIN weightings k LEFT JOIN norms{t} n ON n.combo_id = k.combo_id
+  LEFT JOIN dots{t} d ON d.combo_id = k.combo_id AND d.doc_id = s.doc_id
+),
+pred{t} AS MATERIALIZED (
+  SELECT combo_id, doc_id, label, split, CASE WHEN x0 <= x1 AND x0 <= x2 THEN {O.q(O.CLASSES[0])}
+         WHEN x1 <= x2 THEN {O.q(O.CLASSES[1])} ELSE {O.q(O.CLASSES[2])} END AS prediction FROM far{t}
+)""")
+        ctes.append(_per_class_cte(f"(SELECT * FROM pred{t} WHERE split = 'test')", REPORT_LABELS, f"pcr{t}", "combo_id"))
+        name = NM.run_name(GROUPS, QQ.SEARCH_SCALE, n_del, QQ.SEARCH_BLOCKS, 0.7, 0.2)
+        share = lambda split: ("avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) "
+                               f"FILTER (WHERE split = '{split}')")
+        parts.append(f"""SELECT a.combo_id::BIGINT AS combo_id, wl.weights, round(a.train_acc, 6) AS train_acc,
+       round(a.test_acc, 6) AS test_acc, round(f.macro_f1, 6) AS macro_f1, {n_del}::BIGINT AS n_delete, {O.q(name)} AS run_name
+FROM (SELECT combo_id, {share('train')} AS train_acc, {share('test')} AS test_acc FROM pred{t} GROUP BY combo_id) a
+JOIN (SELECT combo_id, avg(f1) AS macro_f1 FROM pcr{t} GROUP BY combo_id) f ON f.combo_id = a.combo_id
+JOIN wlabels wl ON wl.combo_id = a.combo_id""")
+    return _corpus(*ctes, "runs AS MATERIALIZED (" + "\nUNION ALL\n".join(parts) + ")")
+
+
+def search_runs_scale5():
+    return _runs5_sql() + "\nSELECT * FROM runs"
+
+
+def leaderboard_scale5():
+    lists = "UNION ALL ".join(f"SELECT *, '{metric}' AS metric, {column} AS score FROM runs "
+                              for metric, column in R.METRICS.items())
+    return _runs5_sql() + f""",
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_name, metric ORDER BY score DESC, combo_id) AS r FROM ({lists}))
+  WHERE r = 1
+)
+SELECT metric, run_name, combo_id, weights, train_acc, test_acc, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC, run_name) AS place FROM best) WHERE place <= 10"""
+
+
+def top_runs_scale5():
+    lists = "UNION ALL ".join(f"SELECT *, '{metric}' AS metric, {column} AS score FROM runs "
+                              for metric, column in R.METRICS.items())
+    return _runs5_sql() + f"""
+SELECT run_name, metric, rank, combo_id, weights, train_acc, test_acc, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_name, metric ORDER BY score DESC, combo_id) AS rank FROM ({lists}))
+WHERE rank <= 20"""
+
+
+def weight_grid_scale5():
+    labels = ", ".join(f"({i}, {O.q(R.weights_label(w))})" for i, w in enumerate(QQ.GRID5))
+    return _corpus(O.counts_cte().replace("counts AS (", "counts AS MATERIALIZED ("),
+                   O.class_sizes_cte().replace("class_sizes AS (", "class_sizes AS MATERIALIZED ("), *_grid5_ctes(),
+                   *_cut5_ctes(N_DELETE, "_0"), f"wlabels(combo_id, weights) AS (SELECT * FROM (VALUES {labels}))") + """
+SELECT s.combo_id::BIGINT AS combo_id, any_value(l.weights) AS weights, count(*) AS n_features,
+       sum(CASE WHEN s.score >= c.cut THEN 1 ELSE 0 END)::BIGINT AS n_kept
+FROM scored s JOIN cut_0 c ON c.combo_id = s.combo_id JOIN wlabels l ON l.combo_id = s.combo_id GROUP BY s.combo_id"""
+
+
+def ocfs_grid_scale5():
+    return _corpus(O.counts_cte().replace("counts AS (", "counts AS MATERIALIZED ("),
+                   O.class_sizes_cte().replace("class_sizes AS (", "class_sizes AS MATERIALIZED ("), *_grid5_ctes()) + f"""
+SELECT * FROM (
+  SELECT s.combo_id::BIGINT AS combo_id, v.word, v.grp, floor(s.score * 1e6 + 0.5::DOUBLE) / 1e6 AS score,
+         row_number() OVER (PARTITION BY s.combo_id ORDER BY floor(s.score * 1e6 + 0.5::DOUBLE) / 1e6 DESC, v.word, v.grp) AS rank
+  FROM scored s JOIN vocab v ON v.t = s.t) WHERE rank <= {TOP_K}"""
+
+
 def wrong_predictions():
     return _pred(TEST) + """
 SELECT label, rank, doc_id, prediction FROM (
@@ -551,4 +673,9 @@ ORACLES = {
     "top_runs": top_runs(),
     "best_per_run": best_per_run(),
     "leaderboard": leaderboard(),
+    "ocfs_grid_scale5": ocfs_grid_scale5(),
+    "weight_grid_scale5": weight_grid_scale5(),
+    "search_runs_scale5": search_runs_scale5(),
+    "top_runs_scale5": top_runs_scale5(),
+    "leaderboard_scale5": leaderboard_scale5(),
 }

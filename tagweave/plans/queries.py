@@ -8,6 +8,8 @@ places on both sides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..operators import sampling as S
 from ..operators import evaluate as V
 from ..operators import search as R
 from ..operators import tagging as T
+from ..operators import weightings as W
 from ..functions import naming as NM
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.tables import labelled_documents, table
@@ -260,6 +263,7 @@ def q_ocfs_keep(spark, sf_dir):
 
 
 SEARCH_SCALE = 5              # weights 1..5, the scale of the reference's published searches
+GRID5 = R.weight_grid(GROUPS, SEARCH_SCALE)
 GRID = R.weight_grid(GROUPS, 2)
 
 
@@ -349,31 +353,56 @@ SEARCH_DELETES = [0, N_DELETE]
 SEARCH_BLOCKS = {"pos": 1.0}
 
 
-def search_runs(spark, sf_dir):
+def search_runs(spark, sf_dir, combos=None, scale=2):
     """Every canonical weighting, for every feature-cut setting: one run row
-    each (train accuracy, test accuracy, test macro F1) with its names."""
-    out = None
-    labels = {i: R.weights_label(w) for i, w in enumerate(GRID)}
-    lab_items = []
-    for i, s in labels.items():
-        lab_items += [F.lit(i), F.lit(s)]
-    lab_map = F.create_map(*lab_items)
+    each (train accuracy, test accuracy, test macro F1) with its names.  All
+    weightings are scored together, over rows written once."""
+    combos = combos or GRID
+    docs = prepared(spark, sf_dir)
+    runs = W.grid_runs(docs, combos, list(GROUPS), L.class_sizes(docs), SEARCH_DELETES)
     groups_col = F.create_map(*sum([[F.lit(k), F.array(*[F.lit(t) for t in v])] for k, v in GROUPS.items()], []))
     blocks_col = F.create_map(*sum([[F.lit(k), F.lit(float(v))] for k, v in SEARCH_BLOCKS.items()], []))
-    for n_del, p in centroid_runs(spark, sf_dir, GRID, SEARCH_DELETES).items():
-        acc = V.accuracy(p.where(F.col("split") != "dev"), ["combo_id", "split"])
-        accs = (acc.groupBy("combo_id")
-                .agg(F.max(F.when(F.col("split") == "train", F.col("accuracy"))).alias("train_acc"),
-                     F.max(F.when(F.col("split") == "test", F.col("accuracy"))).alias("test_acc")))
-        f1 = V.macro_f1(p.where(F.col("split") == "test"), by=["combo_id"])
-        runs = accs.join(f1, "combo_id").select(
-            F.col("combo_id").cast("long").alias("combo_id"), F.try_element_at(lab_map, F.col("combo_id")).alias("weights"),
-            r6(F.col("train_acc")).alias("train_acc"), r6(F.col("test_acc")).alias("test_acc"),
-            r6(F.col("macro_f1")).alias("macro_f1"), F.lit(n_del).cast("long").alias("n_delete"))
-        runs = runs.withColumn("run_name", NM.run_name_col(groups_col, F.lit(2), F.lit(n_del), blocks_col,
-                                                            F.lit(0.7), F.lit(0.2)))
-        out = runs if out is None else out.unionByName(runs)
-    return out
+    return runs.select("combo_id", _weights_of(combos, F.col("combo_id")).alias("weights"), r6(F.col("train_acc")).alias("train_acc"),
+                       r6(F.col("test_acc")).alias("test_acc"), r6(F.col("macro_f1")).alias("macro_f1"), "n_delete",
+                       NM.run_name_col(groups_col, F.lit(scale), F.col("n_delete").cast("int"), blocks_col, F.lit(0.7),
+                                       F.lit(0.2)).alias("run_name"))
+
+
+def _weights_of(combos, combo_id):
+    """A weighting's text by its number."""
+    return F.element_at(F.array(*[F.lit(R.weights_label(w)) for w in combos]), combo_id.cast("int") + 1)
+
+
+def search_runs_scale5(spark, sf_dir):
+    """All 607 canonical weightings of the published search scale (1..5, four groups)."""
+    return search_runs(spark, sf_dir, GRID5, SEARCH_SCALE)
+
+
+def q_top_runs_scale5(spark, sf_dir):
+    return R.top_runs(search_runs_scale5(spark, sf_dir), 20).select(
+        "run_name", "metric", "rank", "combo_id", "weights", "train_acc", "test_acc", "macro_f1")
+
+
+def q_leaderboard_scale5(spark, sf_dir):
+    best = cut_lineage(R.best_per_run(R.top_runs(search_runs_scale5(spark, sf_dir), 20)))
+    return R.leaderboard(best, "accuracy", 10).unionByName(R.leaderboard(best, "f1", 10)).select(
+        "metric", "run_name", "combo_id", "weights", "train_acc", "test_acc", "macro_f1")
+
+
+def q_weight_grid_scale5(spark, sf_dir):
+    """H17 at scale 5: training features of every canonical weighting, and how many it keeps."""
+    docs = prepared(spark, sf_dir)
+    parts = [w.feature_counts(w.cuts(N_DELETE)).withColumn("combo_id", F.col("combo_id") + at)
+             for at, w in W.in_passes(docs, GRID5, list(GROUPS), L.class_sizes(docs))]
+    return reduce(DataFrame.unionByName, parts).withColumn("weights", _weights_of(GRID5, F.col("combo_id")))
+
+
+def q_ocfs_grid_scale5(spark, sf_dir):
+    """C6 at scale 5: the 20 best features of every canonical weighting."""
+    docs = prepared(spark, sf_dir)
+    parts = [w.top_terms(TOP_K).withColumn("combo_id", F.col("combo_id") + at)
+             for at, w in W.in_passes(docs, GRID5, list(GROUPS), L.class_sizes(docs))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def q_weight_grid(spark, sf_dir):
@@ -568,6 +597,11 @@ QUERIES = {
     "top_runs": q_top_runs,
     "best_per_run": q_best_per_run,
     "leaderboard": q_leaderboard,
+    "ocfs_grid_scale5": q_ocfs_grid_scale5,
+    "weight_grid_scale5": q_weight_grid_scale5,
+    "search_runs_scale5": search_runs_scale5,
+    "top_runs_scale5": q_top_runs_scale5,
+    "leaderboard_scale5": q_leaderboard_scale5,
     # rows-only
     "maxent_predict": q_maxent_predict,
     "baseline_bow": _baseline_report("bow"),
