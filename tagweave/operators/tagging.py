@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from .select import global_index
+from ..session import cut_lineage
 
 DEFAULT_GROUP = "DEFAULT"
 
@@ -34,7 +34,9 @@ def tag_words(df: DataFrame, words: str = "words", out: str = "tokens", lexicon=
     ``lexicon`` (word -> tag; a dict or a two-column DataFrame) wins over the
     rules.  It is joined on the word whatever its size (Spark broadcasts a
     small one); of several tags for a word the alphabetically first counts.
-    Documents need no unique key: rows are numbered first.
+    Documents need no unique key: rows are numbered where they lie and
+    written once, so equal texts, however many, stay spread over the tasks.
+    Each distinct word of a document is joined once.
     """
     if lexicon is None:
         return df.withColumn(out, F.transform(F.col(words), lambda w: F.struct(
@@ -44,14 +46,12 @@ def tag_words(df: DataFrame, words: str = "words", out: str = "tokens", lexicon=
         lexicon = spark.createDataFrame(list(lexicon.items()), "word string, tag string")
     lex = (lexicon.toDF("word", "_lex_tag").where("word is not null and _lex_tag is not null")
            .groupBy("word").agg(F.min("_lex_tag").alias("_lex_tag")))
-    keyed = global_index(df.withColumn("_ord", F.xxhash64(F.col(words).cast("string"))), ["_ord"], "_doc").drop("_ord")
-    ex = keyed.select("_doc", F.posexplode(words).alias("_pos", "word"))
-    tagged = ex.join(lex, "word", "left").withColumn("tag", F.coalesce("_lex_tag", rule_tag(F.col("word"), rules)))
-    per_doc = (tagged.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("_pos", "word", "tag"))).alias("_t"))
-               .select("_doc", F.transform("_t", lambda t: F.struct(t["word"].alias("word"),
-                                                                     t["tag"].alias("tag"))).alias(out)))
-    none = F.when(F.col(words).isNotNull(), F.array().cast("array<struct<word:string,tag:string>>"))
-    return keyed.join(per_doc, "_doc", "left").withColumn(out, F.coalesce(F.col(out), none)).drop("_doc")
+    keyed = cut_lineage(df.withColumn("_doc", F.monotonically_increasing_id()))
+    ex = keyed.select("_doc", F.explode(F.array_distinct(words)).alias("word"))
+    found = ex.join(lex, "word").groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("word", "_lex_tag"))).alias("_lex"))
+    tagged = keyed.join(found, "_doc", "left").withColumn(out, F.transform(F.col(words), lambda w: F.struct(
+        w.alias("word"), F.coalesce(F.try_element_at(F.col("_lex"), w), rule_tag(w, rules)).alias("tag"))))
+    return tagged.drop("_doc", "_lex")
 
 
 def group_of(tag: Column, groups: dict, default: str = DEFAULT_GROUP) -> Column:
@@ -99,11 +99,19 @@ def remove_stopwords(words: Column, stopwords=None) -> Column:
 def tag_statistics(docs: DataFrame, tokens: str = "tokens", by: str = "label") -> DataFrame:
     """Tokens, distinct words and documents per (label, tag), with the
     tag's description and family from the tagset dimension."""
-    ex = docs.select("doc_id", by, F.explode_outer(tokens).alias("t")).where(F.col("t").isNotNull()).select(
-        "doc_id", by, F.col("t.word").alias("word"), F.col("t.tag").alias("tag"))
-    stats = ex.groupBy(by, "tag").agg(F.count("*").alias("n_tokens"),
-                                      F.countDistinct("word").alias("n_types"),
-                                      F.countDistinct("doc_id").alias("n_docs"))
+    # Two passes read the tokens, so what makes them runs once.
+    docs = cut_lineage(docs.select("doc_id", by, tokens))
+    ex = docs.select(by, F.explode_outer(tokens).alias("t")).where(F.col("t").isNotNull()).select(
+        by, F.col("t.word").alias("word"), F.col("t.tag").alias("tag"))
+    # Distinct counts as two levels of plain counts: no row is expanded once per distinct column.
+    words = ex.groupBy(by, "tag", "word").agg(F.count("*").alias("n")).groupBy(by, "tag").agg(
+        F.sum("n").alias("n_tokens"), F.count("word").alias("n_types"), F.lit(0).cast("long").alias("n_docs"))
+    tags = F.explode_outer(F.array_distinct(F.transform(F.col(tokens), lambda t: t["tag"])))
+    nothing = F.lit(0).cast("long")
+    in_docs = docs.where(F.size(tokens) > 0).select("doc_id", by, tags.alias("tag")).distinct().groupBy(by, "tag").agg(
+        nothing.alias("n_tokens"), nothing.alias("n_types"), F.count("doc_id").alias("n_docs"))
+    stats = words.unionByName(in_docs).groupBy(by, "tag").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.sum("n_types").alias("n_types"), F.sum("n_docs").alias("n_docs"))
     spark = docs.sparkSession
     dim = spark.createDataFrame(P.TAGSET, "tag string, description string, family string")
     # the tagset dimension has a fixed size (25 rows): safe to broadcast

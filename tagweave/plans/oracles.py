@@ -600,6 +600,20 @@ def top_runs():
 SELECT run_name, metric, rank, combo_id, weights, train_acc, test_acc, macro_f1 FROM saved"""
 
 
+def saved_runs():
+    return _runs(SAVED) + """
+SELECT 'plain' AS dataset, run_name AS experiment, metric, rank, combo_id, weights, train_acc, test_acc, macro_f1 FROM saved"""
+
+
+def tag_tokens_lexicon():
+    return _corpus(r"""lexicon AS MATERIALIZED (
+  SELECT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)
+  GROUP BY lower(w) HAVING count(*) >= 5 AND 10 * sum(CASE WHEN regexp_matches(w, '^[A-Z][a-z]') THEN 1 ELSE 0 END) >= 9 * count(*)
+)""") + """
+SELECT t.doc_id, (t.pos - 1)::BIGINT AS pos, t.word, CASE WHEN l.word IS NOT NULL THEN '^' ELSE t.tag END AS tag
+FROM tokens t LEFT JOIN lexicon l ON l.word = t.word"""
+
+
 def best_per_run():
     return _runs(SAVED) + """
 SELECT run_name, metric, combo_id, weights, train_acc, test_acc, macro_f1 FROM saved WHERE rank = 1"""
@@ -673,6 +687,8 @@ ORACLES = {
     "top_runs": top_runs(),
     "best_per_run": best_per_run(),
     "leaderboard": leaderboard(),
+    "saved_runs": saved_runs(),
+    "tag_tokens_lexicon": tag_tokens_lexicon(),
     "ocfs_grid_scale5": ocfs_grid_scale5(),
     "weight_grid_scale5": weight_grid_scale5(),
     "search_runs_scale5": search_runs_scale5(),

@@ -22,7 +22,8 @@ from ..operators import search as R
 from ..operators import tagging as T
 from ..operators import weightings as W
 from ..functions import naming as NM
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, shared_folder
+from ..sources import sinks
 from ..sources.tables import labelled_documents, table
 from . import corpus as K
 
@@ -531,6 +532,44 @@ def q_fit_or_load(spark, sf_dir):
     return V.confusion(M.predict(model, test))
 
 
+VARIANTS = {"plain": {}, "reshuffled": {"shuffle": True}, "equal_classes_reshuffled": {"balance": True}}
+
+
+def _presets(variant, split="train"):
+    """The test documents scored by every preset model of a corpus variant."""
+    def q(spark, sf_dir):
+        from ..operators import models as M
+        docs = cut_lineage(K.build_corpus(spark, sf_dir, GROUPS, **VARIANTS[variant]).select("doc_id", "label", "split", "tokens"))
+        models = M.preset_models(spark, docs, M.PRESETS[variant], f"{ensure_checkpoint_dir(spark)}/models", variant, split)
+        return M.score_presets(docs.where(F.col("split") == "test"), models)
+    return q
+
+
+def q_saved_runs(spark, sf_dir):
+    """A9 + A10: the search's result lists saved by dataset, experiment and
+    metric, saved once more, and read back: one copy."""
+    path = shared_folder(spark, "runs")
+    lists = R.top_runs(search_runs(spark, sf_dir), 20).withColumn("dataset", F.lit("plain")) \
+        .withColumnRenamed("run_name", "experiment")
+    lists = cut_lineage(lists)
+    for _ in range(2):
+        sinks.save_runs(lists, path)
+    return sinks.read_runs(spark, path).select("dataset", "experiment", "metric", "rank", "combo_id", "weights",
+                                               "train_acc", "test_acc", "macro_f1")
+
+
+def q_tag_tokens_lexicon(spark, sf_dir):
+    """N1 with a lexicon made from the corpus: words that are capitalised in at
+    least nine of ten places, of five or more, are proper nouns (``^``)."""
+    seen = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    capital = F.sum(F.col("w").rlike("^[A-Z][a-z]").cast("long"))
+    lexicon = seen.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"), capital.alias("c")) \
+        .where("n >= 5 and 10 * c >= 9 * n").select("word", F.lit("^").alias("tag"))
+    d = K.build_corpus(spark, sf_dir, GROUPS, lexicon=lexicon)
+    return (d.select("doc_id", F.posexplode("tokens").alias("pos", "t"))
+            .select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("t.word").alias("word"), F.col("t.tag").alias("tag")))
+
+
 def q_unicode_repair(spark, sf_dir):
     """H13 on the conversation texts with escapes of every kind put between
     their words."""
@@ -563,6 +602,7 @@ QUERIES = {
     "union_sources": q_union_sources,
     # tagging
     "tag_tokens": q_tag_tokens,
+    "tag_tokens_lexicon": q_tag_tokens_lexicon,
     "tag_stats_by_label": q_tag_stats_by_label,
     "stopword_filter": q_stopword_filter,
     "group_tags": q_group_tags,
@@ -602,11 +642,16 @@ QUERIES = {
     "search_runs_scale5": search_runs_scale5,
     "top_runs_scale5": q_top_runs_scale5,
     "leaderboard_scale5": q_leaderboard_scale5,
+    "saved_runs": q_saved_runs,
     # rows-only
     "maxent_predict": q_maxent_predict,
     "baseline_bow": _baseline_report("bow"),
     "baseline_tfidf": _baseline_report("tfidf"),
     "grid_search": q_grid_search,
     "fit_or_load": q_fit_or_load,
+    "preset_predictions": _presets("plain"),
+    "preset_predictions_reshuffled": _presets("reshuffled"),
+    "preset_predictions_balanced": _presets("equal_classes_reshuffled"),
+    "preset_predictions_dev": _presets("plain", "dev"),
     "unicode_repair": q_unicode_repair,
 }

@@ -31,9 +31,15 @@ def write_cleaned(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+RUN_KEYS = ["dataset", "experiment", "metric"]
+
+
 def save_runs(runs: DataFrame, path: str) -> None:
-    """Append search results, partitioned by search configuration."""
-    runs.write.mode("append").partitionBy("run_name").parquet(path)
+    """Search results by ``dataset``, ``experiment`` and ``metric``.
+
+    The partitions that ``runs`` holds replace what was saved under the same
+    keys, all others stay: saving a search twice leaves one copy."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEYS).parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

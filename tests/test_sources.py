@@ -49,13 +49,20 @@ def test_text_lines_with_bom(spark, tmp_path):
 
 
 def test_saved_runs_round_trip(spark, tmp_path):
-    runs = spark.createDataFrame([(0, "A:1", 0.9, 0.6, 0.5, "A_scale_1"), (1, "A:2", 0.8, 0.7, 0.6, "A_scale_1")],
+    runs = spark.createDataFrame([(0, "A:1", 0.9, 0.6, 0.5, "d", "A_scale_1", "f1"), (1, "A:2", 0.8, 0.7, 0.6, "d", "A_scale_1", "f1"),
+                                  (0, "A:1", 0.9, 0.6, 0.5, "d", "A_scale_1", "accuracy")],
                                  "combo_id long, weights string, train_acc double, test_acc double, "
-                                 "macro_f1 double, run_name string")
+                                 "macro_f1 double, dataset string, experiment string, metric string")
     out = str(tmp_path / "runs")
     sinks.save_runs(runs, out)
+    sinks.save_runs(runs, out)  # saved twice: still one copy
     back = sinks.read_runs(spark, out)
-    assert back.count() == 2 and set(back.columns) >= {"run_name", "test_acc"}
+    assert sorted(map(tuple, back.select(runs.columns).collect())) == sorted(map(tuple, runs.collect()))
+    # another experiment leaves the first alone; a new list replaces its own partition only
+    sinks.save_runs(runs.where("metric = 'f1'").limit(1).withColumn("experiment", F.lit("B")), out)
+    sinks.save_runs(runs.where("metric = 'accuracy'").withColumn("test_acc", F.lit(0.1)), out)
+    got = {(r["experiment"], r["metric"], r["combo_id"]): r["test_acc"] for r in sinks.read_runs(spark, out).collect()}
+    assert len(got) == 4 and got["A_scale_1", "accuracy", 0] == 0.1 and got["A_scale_1", "f1", 1] == 0.7
 
 
 def test_order_follows_paths_not_sizes(spark, tmp_path):
