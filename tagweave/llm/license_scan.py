@@ -57,7 +57,8 @@ NOTICES = (
      "this is free and unencumbered software released into the public domain"),
 )
 
-#: Distinct licence words of a file that are looked up for notices, rarest first.
+#: Rarest words of a notice that are looked up before an alignment is scored in full.  Only the
+#: work depends on it: an alignment goes if the words that do not stand rule its score out.
 LOOKUPS = 12
 #: Least share of a notice's IDF mass that must stand in place.
 MIN_SCORE = 0.75
@@ -124,7 +125,7 @@ class Index:
         self.templates = made
         self.idf = {w: math.log((total + 1) / (n + 1)) + 1e-6 for w, n in df.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.mass, self.anchor, self.key_words = [], [], []
+        self.mass, self.anchor, self.key_words, self.looked_up = [], [], [], []
         for t, template in enumerate(made):
             for q, w in enumerate(template.words):
                 self.postings[w].append((t, q))
@@ -132,6 +133,8 @@ class Index:
             rare = max(range(len(template.key)), key=lambda i: (self.idf[template.key[i]], -i))
             self.anchor.append((template.key[rare], template.key_at + rare))
             self.key_words.append(frozenset(template.key))
+            rarest = sorted(set(template.words), key=lambda w: (-self.idf[w], w))[:LOOKUPS]
+            self.looked_up.append([(w, q) for w in rarest for tt, q in self.postings[w] if tt == t])
         # Rarest word of each key phrase: without one of them no template can stand.
         self.doors = frozenset(w for w, _ in self.anchor)
 
@@ -143,27 +146,26 @@ class Index:
         open_to = {t for t, key in enumerate(self.key_words) if key <= present}
         if not open_to:
             return []
-        rare = sorted(present, key=lambda w: (-self.idf[w], w))[:LOOKUPS]
-        wanted = set(rare) | {self.anchor[t][0] for t in open_to}
+        wanted = {w for t in open_to for w, _ in self.looked_up[t]} | {self.anchor[t][0] for t in open_to}
         places: dict[bytes, list[int]] = defaultdict(list)
         for p, w in enumerate(words):
             if w in wanted:
                 places[w].append(p)
-        # Candidate beginnings: every occurrence of a template's rarest key word (so no place
-        # of a key phrase is missed), supported by the other rare words that agree with it.
+        # Candidate beginnings: every occurrence of a template's rarest key word (so no place of a
+        # key phrase is missed), as far as the rare words that stand at the same relative place
+        # leave enough of the notice's mass.
         found = []
         for t in sorted(open_to):
             template = self.templates[t]
             word, q = self.anchor[t]
             starts = {p - q for p in places[word]}
-            if not template.base:
-                votes: Counter = Counter()
-                for w in rare:
-                    for tt, qq in self.postings[w]:
-                        if tt == t:
-                            votes.update(p - qq for p in places[w])
-                in_reach = len({w for w in rare if any(tt == t for tt, _ in self.postings[w])})
-                starts = {s for s in starts if votes[s] >= min(2, in_reach)}
+            if not template.base and starts:
+                agreed: Counter = Counter()
+                for w, qq in self.looked_up[t]:
+                    for s in starts.intersection(p - qq for p in places[w]):
+                        agreed[s] += self.idf[w]
+                sought = sum(self.idf[w] for w, _ in self.looked_up[t])
+                starts = {s for s in starts if self.mass[t] - sought + agreed[s] >= MIN_SCORE * self.mass[t] - 1e-9}
             for s in sorted(starts):
                 a = s + template.key_at
                 if a < 0 or words[a:a + len(template.key)] != template.key:

@@ -266,3 +266,38 @@ def test_method_spans_and_redaction(spark):
     assert out.columns == docs.columns
     got = rows_of(out, "doc_id", "text")
     assert got == collections.Counter((r["doc_id"], None if r["text"] is None else secret_scan.redact_text(r["text"])) for r in rows)
+
+
+def test_license_notices_equal_scoring_every_alignment():
+    """Files that hold all notices, lightly edited: no alignment whose key phrase stands is lost."""
+    import math
+    import random
+
+    from tagweave.llm import license_scan as LS
+    made = LS.templates()
+    vocabulary = sorted({w for t in made for w in t.words})
+    draw = random.Random(11)
+    df = {w: draw.randint(0, 900) for w in vocabulary}
+    index = LS.Index(made, 1000, df)
+    idf = {w: math.log(1001 / (n + 1)) + 1e-6 for w, n in df.items()}
+    lost = 0
+    for _ in range(150):
+        words = []
+        for t in draw.sample(made, len(made)):
+            part = list(t.words)
+            for _ in range(draw.randint(0, 4)):
+                part[draw.randrange(len(part))] = draw.choice([b"changed", b"other", draw.choice(vocabulary)])
+            words += part + [b"filler"] * draw.randint(0, 3)
+        got = {(t, s) for t, s, _ in index.scan(words)}
+        for t, template in enumerate(made):
+            mass = sum(idf[w] for w in template.words)
+            for s in range(-len(template.words), len(words)):
+                a = s + template.key_at
+                if a < 0 or words[a:a + len(template.key)] != template.key:
+                    continue
+                stands = sum(idf[w] for i, w in enumerate(template.words) if 0 <= s + i < len(words) and words[s + i] == w)
+                if template.base or stands >= LS.MIN_SCORE * mass:
+                    lost += (t, s) not in got
+                else:
+                    assert (t, s) not in got
+    assert lost == 0
