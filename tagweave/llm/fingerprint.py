@@ -78,7 +78,7 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -181,19 +181,22 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return walked.filter("place is null").select(names).unionByName(map_arrow(met, finish, PAIR_DDL))
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """``fingerprint, representative, n_docs``: one row per distinct fingerprint.
+def classes(prints: DataFrame, every: int) -> DataFrame:
+    """``fp, representative, n_docs, asks``: one row per distinct fingerprint, as bytes.
 
     ``representative`` is the least ``doc_id`` that has it (null if all are null), ``n_docs`` the
-    number of rows.  Tasks pre-aggregate, so a fingerprint of many copies is one row per task.
+    number of rows, ``asks`` whether ``every`` divides an id among them.  Tasks pre-aggregate, so
+    a fingerprint of many copies is one row per task.
     """
-    return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n_docs"))
+    return prints.groupBy(F.unhex("fingerprint").alias("fp")).agg(
+        F.min("doc_id").alias("representative"), F.count("*").alias("n_docs"),
+        F.max(F.coalesce(F.col("doc_id") % every == 0, F.lit(False))).alias("asks"))
 
 
-def _class_hits(made: DataFrame, prints: DataFrame, radius: int, every: int) -> DataFrame:
-    """``near_fingerprints`` of the documents whose id ``every`` divides, with the class of each hit."""
-    found = near_fingerprints(made, prints.filter(F.col("doc_id") % every == 0), radius)
-    return found.join(classes(made), "fingerprint")
+def _class_hits(made: DataFrame, radius: int) -> DataFrame:
+    """``query, fp, distance, representative, n_docs`` for the classes of ``made`` that ask."""
+    hits = _near(made.select("fp"), made.filter("asks").select("fp"), radius, BITS)
+    return hits.join(made.select("fp", "representative", "n_docs"), "fp")
 
 
 def near_hits(docs: DataFrame, radius: int = SEARCH_RADIUS, every: int = 20) -> DataFrame:
@@ -203,10 +206,10 @@ def near_hits(docs: DataFrame, radius: int = SEARCH_RADIUS, every: int = 20) ->
     ``query`` and ``representative`` are the least ids of the two classes; each class finds itself
     at distance 0, so a group of exact copies is one row with their number.
     """
-    prints = cut_lineage(fingerprints(docs).withColumn("doc_id", F.col("doc_id").cast("long")))  # read three times
-    asking = classes(prints).select(F.col("fingerprint").alias("query_print"), F.col("representative").alias("query"))
-    hits = _class_hits(prints, prints, radius, every).withColumnRenamed("query", "query_print")
-    return hits.join(asking, "query_print").select("query", "representative", "distance", "n_docs")
+    made = cut_lineage(classes(fingerprints(docs).withColumn("doc_id", F.col("doc_id").cast("long")), every))
+    asking = made.filter("asks").select(F.col("fp").alias("asked"), F.col("representative").alias("asker"))
+    hits = _class_hits(made, radius).withColumnRenamed("query", "asked").join(asking, "asked")
+    return hits.select(F.col("asker").alias("query"), "representative", "distance", "n_docs")
 
 
 def compare_and_search(docs: DataFrame, radius: int = SEARCH_RADIUS, every: int = 20) -> DataFrame:
@@ -217,34 +220,56 @@ def compare_and_search(docs: DataFrame, radius: int = SEARCH_RADIUS, every: int
     other distinct fingerprints of the corpus within ``radius`` bits and ``n_near_docs`` that of
     other documents, those with an equal fingerprint included; both are null for all others.
     """
-    made = cut_lineage(compare_with_next(docs))  # narrow rows, read four times
-    asked = F.col("doc_id") % every == 0
-    found = _class_hits(made, made, radius, every).groupBy(F.col("query").alias("__query")) \
+    made = cut_lineage(compare_with_next(docs))  # read twice
+    of_class = cut_lineage(classes(made, every))
+    found = _class_hits(of_class, radius).groupBy(F.col("query").alias("fp")) \
         .agg(F.sum((F.col("distance") > 0).cast("long")).alias("found"), F.sum("n_docs").alias("found_docs"))
-    of_class = classes(made).withColumnsRenamed({"fingerprint": "__own", "n_docs": "of_class"})
-    per_print = of_class.join(found, F.col("__own") == F.col("__query"), "left")
-    return made.join(per_print, F.col("fingerprint") == F.col("__own"), "left").select(
+    per_print = of_class.withColumnRenamed("n_docs", "of_class").join(found, "fp", "left")
+    # Digests and fingerprints travel as bytes, half as long as their digits.
+    hexes = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    narrow = made.withColumns({c: F.unhex(c) for c in hexes})
+    asked = F.col("doc_id") % every == 0
+    met = narrow.join(per_print, F.col("fingerprint") == F.col("fp"), "left")
+    return met.withColumns({c: F.lower(F.hex(c)) for c in hexes}).select(
         *made.columns, "representative", (F.col("of_class") - 1).alias("n_equal"),
         F.when(asked, F.col("found")).alias("n_near"), F.when(asked, F.col("found_docs") - 1).alias("n_near_docs"))
 
 
+#: Hash values of leading blocks that the mark of what is asked for tells apart.
+MARKS = 1 << 20
+
+
 def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, bits: int = BITS) -> DataFrame:
     """``query, fingerprint, distance``: all fingerprints within the radius of each query's.
 
     ``prints`` and ``queries`` have a hex column ``fingerprint``; both are made distinct first,
     so copies meet once.  A query's own fingerprint is part of its result where ``prints`` has it.
     Null fingerprints match nothing.  Exact: the tables miss no pair within the radius.
+    """
+    def of_hex(df):
+        return df.select(F.unhex("fingerprint").alias("fp")).filter(F.col("fp").isNotNull()).distinct()
+
+    hits = _near(of_hex(prints), of_hex(queries), radius, bits)
+    return hits.select(F.lower(F.hex("query")).alias("query"), F.lower(F.hex("fp")).alias("fingerprint"), "distance")
+
+
+def _near(prints: DataFrame, queries: DataFrame, radius: int, bits: int) -> DataFrame:
+    """``query, fp, distance`` of distinct fingerprints (bytes) within the radius of distinct queries.
 
     Fingerprints that share a leading block meet a query as one array (about ``PACK`` at most,
-    however many share it) and are compared inside the row; only hits become rows.
+    however many share it) and are compared inside the row; only hits become rows.  Table rows
+    whose leading block no query has stay behind: the queries' blocks are marked in a table of
+    blocks x ``MARKS`` bits, the same size whatever the corpus, which goes to every task.
     """
     blocks = radius + 1
     digits = bits // 4
     edges = [round(i * digits / blocks) for i in range(blocks + 1)]
     starts = range(0, digits, 16)
 
-    def words_of_hex(column: Column) -> Column:
+    def words(fp: Column) -> Column:
         """The fingerprint as longs of 16 digits, the last of what is left."""
+        column = F.hex(fp)
+
         def number(at, n):
             return F.conv(F.substring(column, at + 1, n), 16, 10).cast("long")
         made = []
@@ -254,25 +279,26 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, bi
             made.append(word.alias(f"w{i}"))
         return F.struct(*made)
 
-    def hex_of_words(words: Column) -> Column:
-        return F.concat(*[F.lpad(F.lower(F.hex(words[f"w{i}"])), min(16, digits - at), "0") for i, at in enumerate(starts)])
+    def bytes_of(words: Column) -> Column:
+        return F.unhex(F.concat(*[F.lpad(F.hex(words[f"w{i}"]), min(16, digits - at), "0") for i, at in enumerate(starts)]))
 
-    def permuted(column: Column) -> Column:
-        """(block number, leading block) of every table."""
-        return F.array(*[F.struct(F.lit(i).alias("block"), F.substring(column, edges[i] + 1, edges[i + 1] - edges[i])
-                                  .alias("lead")) for i in range(blocks)])
+    def lead(fp: Column, i: int) -> Column:
+        return F.substring(F.hex(fp), edges[i] + 1, edges[i + 1] - edges[i])
 
-    def once(df: DataFrame) -> DataFrame:
-        return df.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct()
+    def permuted(fp: Column) -> Column:
+        """(block number, leading block) of every table."""
+        return F.array(*[F.struct(F.lit(i).alias("block"), lead(fp, i).alias("lead")) for i in range(blocks)])
 
-    distinct = cut_lineage(once(prints).select("fingerprint", words_of_hex(F.col("fingerprint")).alias("words")))
-    packs = max(1, -(-distinct.count() // PACK))
+    mark = F.pmod(F.xxhash64("lead"), F.lit(MARKS))
+    place, bit = F.floor(mark / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (mark % 64).cast("int"))
+    asking = queries.select(F.col("fp").alias("query"), words(F.col("fp")).alias("own"), F.inline(permuted(F.col("fp"))))
+    asked = asking.groupBy("block", place.alias("place")).agg(F.bit_or(bit).alias("marks"))
+    packs = max(1, -(-prints.count() // PACK))
     # Also a block that all fingerprints share is dealt to packs of bounded size.
-    tables = distinct.select("words", F.pmod(F.xxhash64("words"), F.lit(packs)).alias("pack"),
-                             F.inline(permuted(F.col("fingerprint")))) \
+    tables = prints.select("fp", F.inline(permuted(F.col("fp")))).withColumn("place", place) \
+        .join(F.broadcast(asked), ["block", "place"]).filter(F.col("marks").bitwiseAND(bit) != 0) \
+        .select(words(F.col("fp")).alias("words"), "block", "lead", F.pmod(F.xxhash64("fp"), F.lit(packs)).alias("pack")) \
         .groupBy("block", "lead", "pack").agg(F.collect_list("words").alias("prints"))
-    asking = once(queries).select(F.col("fingerprint").alias("query"), words_of_hex(F.col("fingerprint")).alias("own"),
-                                  F.inline(permuted(F.col("fingerprint"))))
 
     def distance(p: Column) -> Column:
         bits_apart = [F.bit_count(F.col(f"own.w{i}").bitwiseXOR(p[f"w{i}"])) for i in range(len(starts))]
@@ -280,9 +306,7 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, bi
 
     met = asking.join(tables, ["block", "lead"]).select("block", "query", F.inline(F.transform(
         F.filter("prints", lambda p: distance(p) <= radius),
-        lambda p: F.struct(hex_of_words(p).alias("fingerprint"), distance(p).alias("distance")))))
+        lambda p: F.struct(bytes_of(p).alias("fp"), distance(p).alias("distance")))))
     # A pair that agrees in several blocks is a hit of the first of them alone.
-    agreeing = F.coalesce(*[F.when(F.substring("query", edges[i] + 1, edges[i + 1] - edges[i])
-                                   == F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i]), i)
-                            for i in range(blocks)])
-    return met.filter(F.col("block") == agreeing).select("query", "fingerprint", "distance")
+    agreeing = F.coalesce(*[F.when(lead(F.col("query"), i) == lead(F.col("fp"), i), i) for i in range(blocks)])
+    return met.filter(F.col("block") == agreeing).select("query", "fp", "distance")
