@@ -5,17 +5,25 @@ that stands in credential context is priced as a password cracker would: a dynam
 finds the cheapest way to cut it into common words, dates, repeats, keyboard walks and
 brute-force spans.  A value that stays expensive under the best segmentation is a secret; a
 placeholder, an ordinary word or a date is not.
+
+Words are ranked by how often the corpus uses them (outside credential values, so a leaked
+password that is copied a thousand times does not become a word); letters that are no known word
+are brute force.  Separators and changes of case cut names, calls and addresses into parts:
+a value of known parts refers to something and is no secret, whatever its length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import map_texts
+from tagweave.llm.common import map_arrow, map_texts
 
 #: Span kinds in the order in which they are listed at one start.
 KINDS = ("assign", "access", "hex", "guess")
@@ -48,8 +56,16 @@ COMMON_WORDS = (
     "pass", "word", "key", "api", "access", "private", "public", "auth", "bearer", "hidden", "redacted", "removed",
     "placeholder", "undefined", "unknown", "server", "client", "database", "config", "settings", "environment",
     "love", "hello", "summer", "winter", "spring", "autumn", "monday", "friday", "january", "company", "the", "and",
-    "for", "with", "this", "that", "from", "have", "not", "you")
-WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+    "for", "with", "this", "that", "from", "have", "not", "you",
+    "http", "https", "www", "com", "org", "net", "path", "file", "url", "get", "set", "env", "process", "config", "function",
+    "self", "foo", "bar", "baz", "some", "thing", "method", "class", "type", "data", "header", "request", "response")
+WORD_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
+#: Words of the corpus that are ranked after them at most (a bounded dictionary in every task), how
+#: often one must occur, and entries a task counts before it hands them on.
+TOP_WORDS, LEAST_COUNT, HELD_WORDS = 100_000, 5, 300_000
+#: What stands between the parts of names, calls, paths and addresses.
+SEPARATORS = re.compile(r"[/.:_\-(){}\[\]=?,;]+")
+CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z]+|\d+|[^\w]+")
 # Rows of keyboard and number pad, and the alphabet.
 WALKS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 LEET = str.maketrans("@4831!05$7", "aabelioss" + "t")
@@ -83,7 +99,38 @@ def _walk_neighbours() -> dict[str, set[str]]:
 NEIGHBOURS = _walk_neighbours()
 
 
-def _segments(value: str) -> list[list[tuple[int, float]]]:
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def word_ranks(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, int]:
+    """Word -> rank: the fixed words, then the ``top`` commonest words of all texts (3 to 20 letters, A-Z
+    lower-cased, at least ``LEAST_COUNT`` places outside credential values; ties by the word)."""
+    def handed_on(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
+                                          names=["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                raw = (text or "").encode()
+                if any(w in raw.lower() for w in CONTEXT_WORDS):
+                    raw = CONTEXT.sub(lambda m: m[0][:m.start(1) - m.start()], text).encode()
+                seen.update(w for w in raw.translate(WORD_BYTES).split() if 3 <= len(w) <= 20)
+                if len(seen) > HELD_WORDS:
+                    yield handed_on(seen)
+                    seen = Counter()
+        yield handed_on(seen)
+
+    counted = map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")) \
+        .filter(F.col("n") >= LEAST_COUNT)
+    ranks = dict(WORD_RANK)
+    for r in counted.orderBy(F.desc("n"), "word").limit(top).collect():  # at most ``top`` words
+        ranks.setdefault(r["word"], len(ranks) + 1)
+    return ranks
+
+
+def _segments(value: str, ranks: dict[str, int]) -> list[list[tuple[int, float]]]:
     """For each start the recognised segments: (end, log10 guesses)."""
     n = len(value)
     low = value.lower()
@@ -92,18 +139,10 @@ def _segments(value: str) -> list[list[tuple[int, float]]]:
     for i in range(n):
         for j in range(i + 2, min(n, i + 20) + 1):
             for form, extra in ((low, 0.0), (plain, 1.0)):
-                rank = WORD_RANK.get(form[i:j])
+                rank = ranks.get(form[i:j])
                 if rank:
                     case = 0.0 if value[i:j] == low[i:j] else 0.5
                     out[i].append((j, math.log10(rank + 1) + extra + case))
-        # A run of letters in one usual case is a word of some language.
-        j = i
-        while j < n and j - i < MAX_SEGMENT and value[j].isalpha():
-            j += 1
-        if (i == 0 or not value[i - 1].isalpha()) and 3 <= j - i <= 24:
-            word = value[i:j]
-            if word.islower() or word.isupper() or word.istitle():
-                out[i].append((j, 5.0))
         # Repeats of a unit of one to four characters.
         for unit in range(1, 5):
             j = i + unit
@@ -132,33 +171,55 @@ def log_alphabet(value: str) -> float:
     return math.log10(sum(OTHERS if i is None else CLASSES[i][1] for i in found)) if found else 0.0
 
 
-def log_guesses(value: str, each: float = 1.0) -> float:
+def log_guesses(value: str, each: float = 1.0, ranks: dict[str, int] = WORD_RANK) -> float:
     """log10 of the guesses of the cheapest segmentation of the value.
 
     ``each`` is the log10 of the guesses of a brute-force character.
     """
     n = len(value)
     best = [0.0] + [math.inf] * n
-    found = _segments(value)
+    found = _segments(value, ranks)
     for i in range(n):
         here = best[i] + (SEAM if i else 0.0)
-        for j in range(i + 1, min(n, i + MAX_SEGMENT) + 1):
-            best[j] = min(best[j], here + (j - i) * each)  # brute force
+        if each < math.inf:
+            for j in range(i + 1, min(n, i + MAX_SEGMENT) + 1):
+                best[j] = min(best[j], here + (j - i) * each)  # brute force
         for j, cost in found[i]:
             best[j] = min(best[j], here + cost)
     return best[n]
 
 
-def is_secret(value: str) -> bool:
-    """Whether the value stays expensive, brute force priced by the character classes it draws from."""
-    return log_guesses(value, log_alphabet(value)) >= MIN_LOG_GUESSES
+def _known(part: str, ranks: dict[str, int]) -> bool:
+    """Whether a part of a value is recognised throughout, or too short to say anything."""
+    return len(part) <= 2 or log_guesses(part, math.inf, ranks) < math.inf
+
+
+def is_secret(value: str, ranks: dict[str, int] = WORD_RANK) -> bool:
+    """Whether the value stays expensive, brute force priced by the character classes it draws from.
+
+    A value of several parts is a reference if all are known; else its unknown parts are priced.
+    """
+    each = log_alphabet(value)
+    parts = [p for p in SEPARATORS.split(value) if p]
+    pieces = [x for p in parts for x in CAMEL.findall(p)]
+    if len(pieces) > 1 and all(_known(x, ranks) for x in pieces) and any(len(x) > 2 for x in pieces):
+        return log_guesses(value, each, ranks) >= MIN_LOG_GUESSES and not _names(pieces)
+    if len(parts) > 1:
+        return sum(log_guesses(p, each, ranks) for p in parts if not _known(p, ranks)) >= MIN_LOG_GUESSES
+    return log_guesses(value, each, ranks) >= MIN_LOG_GUESSES
+
+
+def _names(pieces: list[str]) -> bool:
+    """Whether pieces read as a name or path: most of their characters stand in pieces of letters."""
+    letters = sum(len(x) for x in pieces if x.isalpha() and len(x) > 2)
+    return 2 * letters > sum(map(len, pieces))
 
 
 _HEX_SHAPE = bytes(48 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _HEX_RUN = b"0" * 16
 
 
-def spans_of(text: str) -> list[tuple[int, int, str]]:
+def spans_of(text: str, ranks: dict[str, int] = WORD_RANK) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret, by start and then kind; code points, end exclusive.
 
     The fixed kinds overlap one another freely; a ``guess`` span is the value alone and is
@@ -180,7 +241,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span(1)
             value = m[1].rstrip(".):]}")
             b = a + len(value)
-            if len(value) >= 6 and not any(s < b and a < e for s, e, _ in taken) and is_secret(value):
+            if len(value) >= 6 and not any(s < b and a < e for s, e, _ in taken) and is_secret(value, ranks):
                 out.append((a, b, "guess"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -188,13 +249,21 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
 SPAN_DDL = "spans array<struct<start:int,end:int,kind:string>>"
 
 
-def scan(docs: DataFrame, id_cols: list[str] | None = None) -> DataFrame:
+def _shared(docs: DataFrame, ranks: dict[str, int] | None):
+    """The ranks, learned from the texts unless given, in every task (at most ``TOP_WORDS`` and the fixed words)."""
+    return docs.sparkSession.sparkContext.broadcast(word_ranks(docs) if ranks is None else ranks)
+
+
+def scan(docs: DataFrame, id_cols: list[str] | None = None, ranks: dict[str, int] | None = None) -> DataFrame:
     """``doc_id`` (or ``id_cols``) and ``spans`` of every whole text, one row per input row.
 
-    Null text: empty, so no spans.  Repeated rows come back repeatedly.
+    Words are ranked by the texts themselves unless ``ranks`` is given.  Null text: empty, so no
+    spans.  Repeated rows come back repeatedly.
     """
+    shared = _shared(docs, ranks)
+
     def rows():
-        return lambda texts: {"spans": [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t or "")]
+        return lambda texts: {"spans": [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t or "", shared.value)]
                                         for t in texts]}
     return map_texts(docs, id_cols or ["doc_id"], "text", SPAN_DDL, rows)
 
@@ -212,10 +281,10 @@ def scan_digests(docs: DataFrame) -> DataFrame:
                         _joined(F.col("spans")).alias("spans"))
 
 
-def redact_text(text: str, mark: str = "[secret]") -> str:
+def redact_text(text: str, mark: str = "[secret]", ranks: dict[str, int] = WORD_RANK) -> str:
     """The text with every span, overlapping ones merged, replaced by ``mark``."""
     out, at = [], 0
-    spans = spans_of(text)
+    spans = spans_of(text, ranks)
     k = 0
     while k < len(spans):
         start, end, _ = spans[k]
@@ -227,13 +296,15 @@ def redact_text(text: str, mark: str = "[secret]") -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", ranks: dict[str, int] | None = None) -> DataFrame:
     """All columns of ``docs`` with secrets in ``text`` replaced; ``n_chars``, where there, follows.
 
     Null texts stay null; texts without a secret stay as they are, to the character.
     """
+    shared = _shared(docs, ranks)
+
     def rows():
-        return lambda texts: {"__clean": [None if t is None else redact_text(t, mark) for t in texts]}
+        return lambda texts: {"__clean": [None if t is None else redact_text(t, mark, shared.value) for t in texts]}
     others = [c for c in docs.columns if c != "text"]
     clean = map_texts(docs, others, "text", "__clean string", rows).withColumnRenamed("__clean", "text")
     if "n_chars" in docs.columns:

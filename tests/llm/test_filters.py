@@ -301,3 +301,34 @@ def test_license_notices_equal_scoring_every_alignment():
                 else:
                     assert (t, s) not in got
     assert lost == 0
+
+
+def test_planted_values_precision_and_recall(spark):
+    """Random values of every kind in credential context against names, addresses, calls and words."""
+    import random
+    import string
+
+    draw = random.Random(6)
+    rows = documents(spark)
+    ranks = secret_scan.word_ranks(frame(spark, rows))
+    assert secret_scan.word_ranks(empty(spark)) == secret_scan.WORD_RANK
+    alphabets = (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits,
+                 string.ascii_letters + string.digits + "!@#$%^&*", string.ascii_lowercase + string.digits)
+    secrets = ["".join(draw.choices(a, k=draw.randint(10, 24))) for a in alphabets for _ in range(60)]
+    secrets += ["kqzvxwjpmhrtbnfd", "XKQZPVNMWTRBHGFD", "xK9#mQ2z", "aB3-xY9-kL2"]
+    words = [w for w in ranks if w.isascii() and len(w) > 3]
+    plain = ["https://example.com/a/b/c", "https://example.com/path/to/thing", "config.get(env)", "process.env.SECRET", "${API_KEY}",
+             "foo.bar.baz()", "some_function_name", "someMethodName", "required", "2024-01-15", "password123"]
+    plain += [draw.choice(words) for _ in range(150)] + ["_".join(draw.sample(words, 3)) for _ in range(100)]
+    plain += ["https://www." + draw.choice(words) + ".org/" + "/".join(draw.sample(words, 3)) for _ in range(100)]
+    found = [v for v in secrets if any(k in ("guess", "assign") for _, _, k in secret_scan.spans_of(f"password is {v} here", ranks))]
+    wrong = [v for v in plain if secret_scan.spans_of(f"key: {v} here", ranks)]
+    assert len(found) >= 0.98 * len(secrets), sorted(set(secrets) - set(found))[:10]
+    assert len(wrong) <= 0.02 * len(plain), wrong[:10]
+
+
+def test_a_copied_password_does_not_become_a_word(spark):
+    docs = spark.createDataFrame([(i, "the password is zqkvwjxhpt and the plain words stand here") for i in range(50)], "doc_id long, text string")
+    ranks = secret_scan.word_ranks(docs)
+    assert "zqkvwjxhpt" not in ranks and "stand" in ranks
+    assert all("zqkvwjxhpt" not in r["text"] for r in secret_scan.redact(docs).collect())
