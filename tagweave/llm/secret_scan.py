@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import map_arrow, map_texts
+from tagweave.session import cut_lineage
 
 #: Span kinds in the order in which they are listed at one start.
 KINDS = ("assign", "access", "hex", "guess")
@@ -63,6 +64,7 @@ WORD_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
 #: Words of the corpus that are ranked after them at most (a bounded dictionary in every task), how
 #: often one must occur, and entries a task counts before it hands them on.
 TOP_WORDS, LEAST_COUNT, HELD_WORDS = 100_000, 5, 300_000
+STEPS = 8
 #: What stands between the parts of names, calls, paths and addresses.
 SEPARATORS = re.compile(r"[/.:_\-(){}\[\]=?,;]+")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z]+|\d+|[^\w]+")
@@ -103,8 +105,11 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 
 
 def word_ranks(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, int]:
-    """Word -> rank: the fixed words, then the ``top`` commonest words of all texts (3 to 20 letters, A-Z
-    lower-cased, at least ``LEAST_COUNT`` places outside credential values; ties by the word)."""
+    """Word -> rank: the fixed words, then the commonest words of all texts (3 to 20 letters, A-Z
+    lower-cased, at least ``LEAST_COUNT`` places outside credential values; ties by the word).
+
+    Taken are as many whole steps of frequency (``STEPS`` to a doubling) as hold ``top`` words at
+    most, so no task sorts or gathers more than that."""
     def handed_on(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
                                           names=["word", "n"])
@@ -122,10 +127,18 @@ def word_ranks(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, int]:
                     seen = Counter()
         yield handed_on(seen)
 
-    counted = map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")) \
-        .filter(F.col("n") >= LEAST_COUNT)
+    step = F.floor(F.log2("n") * STEPS)
+    counted = cut_lineage(map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                          .filter(F.col("n") >= LEAST_COUNT))
+    sizes = sorted(((r["step"], r["n"]) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for at, n in sizes:  # a row per step of frequency, a few hundred at most
+        if held + n > top:
+            break
+        least, held = at, held + n
     ranks = dict(WORD_RANK)
-    for r in counted.orderBy(F.desc("n"), "word").limit(top).collect():  # at most ``top`` words
+    found = counted.filter(step >= least).collect() if least is not None else []  # ``held`` words
+    for r in sorted(found, key=lambda r: (-r["n"], r["word"])):
         ranks.setdefault(r["word"], len(ranks) + 1)
     return ranks
 
