@@ -83,17 +83,38 @@ def test_grids_beyond_one_chunk(spark, monkeypatch):
 
 
 def test_registered_maxent_search_covers_the_reference_grid(spark, monkeypatch):
+    from tagweave.operators import grid_fit as G
     from tagweave.operators import search as R
-    from tagweave.operators import models as M
+    from tagweave.operators import solver
     from tagweave.plans import queries as Q
-    fitted = []
+    fitted, starts_of = [], []
+
+    class Recorded:
+        groups = sorted(Q.GROUPS)
+        labels = ["negative", "neutral", "positive"]
+
+        def __init__(self, *args, **kwargs):
+            pass
+
+        def lanes(self):
+            return 64
+
+        def fit(self, combos, starts=None):
+            fitted.extend(tuple(w.values()) for w in combos)
+            starts_of.append(starts)
+            return [solver.Optimum(w, [0.0], True) for w in combos], [w["R"] / 10 for w in combos]
+
+        def close(self):
+            pass
+
     frames = spark.range(1), spark.range(1)
     monkeypatch.setattr(Q, "_splits", lambda *a: frames)
-    monkeypatch.setattr(M, "FusedFeatures", lambda train: None)
-    monkeypatch.setattr(M, "fit_fused", lambda train, w, *a: fitted.append(tuple(w.values())) or w)
-    monkeypatch.setattr(M, "scores", lambda w, train, test: (0.5, w["R"] / 10, 0.5))
+    monkeypatch.setattr(G, "GridFit", Recorded)
+    monkeypatch.setattr(G, "_run_scores", lambda counts, labels: (0.5, counts, 0.5))
     rows = {r["weights"]: r for r in Q.QUERIES["grid_search"](spark, "").collect()}
-    assert len(fitted) == len(set(fitted)) == 607 and len(rows) == 625
+    assert len(set(fitted)) == 607 and len(rows) == 625
+    # the first weighting alone, then every one once, each from the optimum of one solved before
+    assert len(fitted) == 608 and starts_of[0] is None and all(len(s) for s in starts_of[1:])
     for w in weight_grid(Q.GROUPS, 5, canonical=False):
         assert R.weights_label(w) in rows
     three = R.weights_label({**dict.fromkeys(Q.GROUPS, 1), "A": 5, "V": 5, "R": 3})
