@@ -45,28 +45,34 @@ FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least_of l O
 
 def quality_rules() -> str:
     """Counts, fences and verdicts of the quality query (ids are unique in the tables)."""
-    gamma, far = repr(Q.GAMMA), repr(Q.FENCE)
-    bucket = f"CASE WHEN value > 0 THEN ceil(ln(value) / ln({gamma}::DOUBLE)) ELSE {Q.ZERO_BUCKET} END"
-    value = lambda b: f"CASE WHEN {b} = {Q.ZERO_BUCKET} THEN 0 ELSE 2 * pow({gamma}::DOUBLE, {b}) / ({gamma}::DOUBLE + 1) END"
-    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS value FROM measured" for m in Q.MEASURES)
+    gamma = f"{Q.GAMMA!r}::DOUBLE"
+    bucket = f"CASE WHEN value > 0 THEN ceil(ln(value) / ln({gamma})) ELSE {Q.ZERO_BUCKET} END"
+    value = lambda b: f"CASE WHEN {b} = {Q.ZERO_BUCKET} THEN 0 ELSE 2 * pow({gamma}, {b}) / ({gamma} + 1) END"
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS value FROM measured WHERE NOT base_failed"
+                          for m in (*Q.MEASURES, *Q.SIZES))
+    at = {f"q{round(100 * q)}": q for q in sorted({0.5, *[q for level, *_ in Q.MEASURES.values() for q in (level, round(1 - level, 9))]})}
+    quantiles = ", ".join(f"min(CASE WHEN upto >= {q}::DOUBLE * total THEN bucket END) AS {name}" for name, q in at.items())
     levels = []
     for level, by in enumerate((["lang", "source"], ["lang"], [])):
         keys = ", ".join([*by, "measure"])
         same = " AND ".join(["p.measure = f.measure", *[f"p.{c} IS NOT DISTINCT FROM f.{c}" for c in by]])
         enough = f"f.total >= {Q.MIN_GROUP}" if by else "TRUE"
         levels.append(f"""
-SELECT p.lang, p.source, p.measure, {level} AS level, f.q25, f.q75 FROM pairs p JOIN (
-  SELECT {keys}, max(total) AS total, min(CASE WHEN upto >= 0.25 * total THEN bucket END) AS q25,
-         min(CASE WHEN upto >= 0.75 * total THEN bucket END) AS q75
+SELECT p.lang, p.source, p.measure, {level} AS level, {', '.join(f'f.{name}' for name in at)} FROM pairs p JOIN (
+  SELECT {keys}, max(total) AS total, {quantiles}
   FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}) AS total,
                sum(n) OVER (PARTITION BY {keys} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto
         FROM (SELECT {keys}, bucket, sum(n) AS n FROM sketch GROUP BY {keys}, bucket)) GROUP BY {keys}) f
 ON {same} WHERE {enough}""")
-    inside = []
-    for m, (below, above) in Q.MEASURES.items():
-        q25, q75 = value("f.q25"), value("f.q75")
-        low = f" OR m.{m} < ({q25}) - {far}::DOUBLE * (({q75}) - ({q25})) - {below}" if below is not None else ""
-        inside.append(f"(f.measure = '{m}' AND (m.{m} > ({q75}) + {far}::DOUBLE * (({q75}) - ({q25})) + {above}{low}))")
+    outside = []
+    for m, (level, widths, both, size, hits) in Q.MEASURES.items():
+        low, high = value(f"f.q{round(100 * (1 - level))}"), value(f"f.q{round(100 * level)}")
+        spread = f"{widths}::DOUBLE * (({high}) - ({low}))"
+        fence = f"({high}) * {gamma} + {spread}"
+        if size:
+            fence = f"greatest({fence}, {hits}::DOUBLE / ({value('s.q50')}))"
+        low_end = f" OR m.{m} < ({low}) / {gamma} - {spread}" if both else ""
+        outside.append(f"(f.measure = '{m}' AND s.measure = '{size or m}' AND (m.{m} > {fence}{low_end}))")
     return rf"""
 WITH split AS MATERIALIZED (
   SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
@@ -86,7 +92,7 @@ covered AS (
 counted AS (
   SELECT s.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(coalesce(array_to_string(ws, ''), ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM split s LEFT JOIN covered c ON c.doc_id = s.doc_id
 ),
@@ -110,7 +116,8 @@ fences AS MATERIALIZED (
 outside AS (
   SELECT DISTINCT m.doc_id FROM measured m JOIN fences f
   ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
-  WHERE {' OR '.join(inside)}
+  JOIN fences s ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source
+  WHERE {' OR '.join(outside)}
 )
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND o.doc_id IS NULL AS kept

@@ -1,11 +1,13 @@
 """Operator 6: quality rules with thresholds learned per language and source.
 
 DataFrame functions only.  Each document is measured in its row.  The distribution of every
-measure within a language and source is kept as a mergeable quantile sketch: counts of
-logarithmic buckets (relative error about 1 %), so sketches of tasks, of sources and of
-languages merge by adding counts, in any order, with the same result.  Fences around the
-quartiles replace fixed cutoffs; a group too small to speak for itself uses the merged sketch
-of its language, or of everything.  The fences are then joined to the measured documents.
+measure within a language and source, over the documents that pass the base rules, is kept as a
+mergeable quantile sketch: counts of logarithmic buckets (relative error about 1 %), so sketches
+of tasks, of sources and of languages merge by adding counts, in any order, with the same
+result.  Every fence follows from the sketches of its group: a high quantile plus a multiple of
+the spread below it, and for a share no lower than what a few hits are in a document of the
+group's median size.  A group too small to speak for itself uses the merged sketch of its
+language, or of everything.  The fences are then joined to the measured documents.
 """
 
 from __future__ import annotations
@@ -25,21 +27,25 @@ ZERO_BUCKET = -1_000_000
 MIN_GROUP = 200
 #: Groups (about 100 bytes each) whose fences are broadcast at most.
 BROADCAST_GROUPS = 50_000
-#: Interquartile ranges beyond the quartiles at which a fence stands.
-FENCE = 5.0
-#: Measure -> (allowance below the lower fence or None, allowance above the upper fence).
-#: The allowance keeps clean documents where a group's quartiles coincide.
+#: Measure -> (quantile level of the body, its widths up to a fence, whether low values are out
+#: too, for a share the count that it is taken of and the hits (symbols, equal lines, repeated
+#: words) in a document of median size that are never out: so few can be chance where most of a
+#: group has none).  The body runs from quantile 1 - level to level.
+#: Junk by symbols or word length may be up to a quarter of a group; of equal lines and
+#: repeats the base rules have taken the worst, so that their far tail can speak.
 MEASURES = {
-    "mean_word": (1.0, 1.0),
-    "symbol_share": (None, 0.05),
-    "dup_line_share": (None, 0.35),
-    "repeat_share": (None, 0.3),
+    "mean_word": (0.75, 5.0, True, None, 0),
+    "symbol_share": (0.75, 5.0, False, "word_chars", 9),
+    "dup_line_share": (0.99, 2.0, False, "n_lines", 3),
+    "repeat_share": (0.99, 2.0, False, "n_words", 9),
 }
+#: Counts whose median gives the size of a group's documents.
+SIZES = sorted({size for *_, size, _ in MEASURES.values() if size})
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns (none may start with ``__``), the counts, ``base_failed`` and the measures.
+    """``keep`` columns (none may start with ``__``), the counts, ``n_lines``, ``base_failed`` and the measures.
 
     Null text: no words, so every count is 0 and every share is null.  Arrays of a document
     stay in its row; each stage refers to the one before more than once, so that Catalyst keeps
@@ -54,12 +60,12 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
                  F.expr(r"filter(split(__t, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("__l"))
     names.append("n_symbols")
     a = a.select(*names, F.size("__w").cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-                 F.size("__l").alias("__lines"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+                 F.size("__l").cast("long").alias("n_lines"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
                  # Windows of three words with their place, sorted: equal windows stand together.
                  # Words hold no space, so three spaces end the words exactly.
                  F.expr("""array_sort(transform(if(size(__w) < 3, array(), sequence(0, size(__w) - 3)),
                         i -> concat(__w[i], ' ', __w[i + 1], ' ', __w[i + 2], ' ', cast(1000000000 + i as string))))""").alias("__g"))
-    names += ["n_words", "word_chars", "__lines", "n_dup_lines"]
+    names += ["n_words", "word_chars", "n_lines", "n_dup_lines"]
     a = a.select(*names, F.expr("transform(__g, x -> substring(x, 1, length(x) - 10))").alias("__k"), "__g")
     a = a.select(*names, F.expr("""array_sort(transform(filter(
             if(size(__k) = 0, array(), sequence(0, size(__k) - 1)),
@@ -71,11 +77,11 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     words = F.col("n_words")
     some = lambda x: F.when(words > 0, x)
     return a.select(
-        *keep, *COUNTS,
+        *keep, *COUNTS, "n_lines",
         ((words < 50) | (100 * F.col("n_repeat_words") > 50 * words)).alias("base_failed"),
         some(F.col("word_chars") / words).alias("mean_word"),
         some(F.col("n_symbols") / F.col("word_chars")).alias("symbol_share"),
-        F.when(F.col("__lines") > 0, F.col("n_dup_lines") / F.col("__lines")).alias("dup_line_share"),
+        F.when(F.col("n_lines") > 0, F.col("n_dup_lines") / F.col("n_lines")).alias("dup_line_share"),
         some(F.col("n_repeat_words") / words).alias("repeat_share"))
 
 
@@ -92,21 +98,25 @@ def value_of(bucket: Column) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """``lang, source, measure, bucket, n``: mergeable quantile sketches by adding ``n``.
 
+    Of the documents that pass the base rules, every measure and the sizes behind the shares.
     Tasks pre-aggregate, so a hot source reaches the shuffle as its few buckets per task.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES]))
+    # A filter on ``base_failed`` would be pushed into the measures and repeat their expressions.
+    value = lambda m: F.when(~F.col("base_failed"), F.col(m).cast("double")).alias("value")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), value(m)) for m in (*MEASURES, *SIZES)]))
     return measured.select("lang", "source", each.alias("m")).filter("m.value is not null") \
         .select("lang", "source", "m.measure", bucket_of(F.col("m.value")).alias("bucket")) \
         .groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
 def fences(sketched: DataFrame) -> DataFrame:
-    """``lang, source`` and ``<measure>_lo`` / ``_hi`` for every pair that occurs, nulls included.
+    """``lang, source`` and ``<measure>_lo`` / ``_hi`` for every pair in the sketches, nulls included.
 
     A pair with fewer than ``MIN_GROUP`` documents takes the merged sketch of its language, and
     that of all documents where the language has too few as well.
     """
     sketched = cut_lineage(sketched)  # a few buckets per group
+    at = sorted({0.5, *[q for level, *_ in MEASURES.values() for q in (level, round(1 - level, 9))]})
     pairs = sketched.select("lang", "source", "measure").distinct()
     levels = None
     for level, by in enumerate((["lang", "source"], ["lang"], [])):
@@ -114,26 +124,32 @@ def fences(sketched: DataFrame) -> DataFrame:
         w = Window.partitionBy(*by, "measure")
         ranked = merged.withColumn("total", F.sum("n").over(w)) \
             .withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-        quartile = [F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(f"q{round(100 * q)}")
-                    for q in (0.25, 0.75)]
-        found = ranked.groupBy(*by, "measure").agg(F.first("total").alias("total"), *quartile)
+        quantile = [F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(_name(q)) for q in at]
+        found = ranked.groupBy(*by, "measure").agg(F.first("total").alias("total"), *quantile)
         p, f = pairs.alias("p"), found.alias("f")
         same = F.col("p.measure") == F.col("f.measure")
         for c in by:
             same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}"))
         of_pair = p.join(f, same).filter((F.col("f.total") >= MIN_GROUP) | F.lit(not by)) \
             .select("p.lang", "p.source", "p.measure", F.lit(level).alias("level"),
-                    value_of(F.col("q25")).alias("q25"), value_of(F.col("q75")).alias("q75"))
+                    *[value_of(F.col(_name(q))).alias(_name(q)) for q in at])
         levels = of_pair if levels is None else levels.unionByName(of_pair)
-    chosen = levels.groupBy("lang", "source", "measure").agg(F.min_by(F.struct("q25", "q75"), "level").alias("q"))
-    spread = FENCE * (F.col("q.q75") - F.col("q.q25"))
+    chosen = levels.groupBy("lang", "source", "measure").agg(F.min_by(F.struct(*map(_name, at)), "level").alias("q"))
+    wide = chosen.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in (*MEASURES, *SIZES)])
     out = []
-    for m, (below, above) in MEASURES.items():
-        mine = F.col("measure") == m
-        out.append(F.max(F.when(mine, F.col("q.q75") + spread + above)).alias(f"{m}_hi"))
-        if below is not None:
-            out.append(F.max(F.when(mine, F.col("q.q25") - spread - below)).alias(f"{m}_lo"))
-    return cut_lineage(chosen.groupBy("lang", "source").agg(*out))  # a row per group
+    for m, (level, widths, both, size, hits) in MEASURES.items():
+        low, high = F.col(m)[_name(round(1 - level, 9))], F.col(m)[_name(level)]
+        # One bucket more than the quantile: what a sketch cannot tell apart is not outside.
+        fence = high * GAMMA + widths * (high - low)
+        out.append((fence if size is None else F.greatest(fence, hits / F.col(size)[_name(0.5)])).alias(f"{m}_hi"))
+        if both:
+            out.append((low / GAMMA - widths * (high - low)).alias(f"{m}_lo"))
+    return cut_lineage(wide.select("lang", "source", *out))  # a row per group
+
+
+def _name(quantile: float) -> str:
+    return f"q{round(100 * quantile)}"
 
 
 def judge(measured: DataFrame, learned: DataFrame) -> DataFrame:
@@ -147,9 +163,9 @@ def judge(measured: DataFrame, learned: DataFrame) -> DataFrame:
     f = learned.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = measured.join(f, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     inside = F.lit(True)
-    for m, (below, _) in MEASURES.items():
+    for m, (_, _, both, *_) in MEASURES.items():
         inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_hi"), F.lit(True))
-        if below is not None:
+        if both:
             inside = inside & F.coalesce(F.col(m) >= F.col(f"{m}_lo"), F.lit(True))
     return joined.select(*measured.columns, (~F.col("base_failed") & inside).alias("kept"))
 
