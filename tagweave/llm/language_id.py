@@ -24,8 +24,9 @@ from tagweave.llm.common import map_arrow, map_texts
 #: Hash buckets of n-grams; the model is this many doubles per language.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled rows per language that the model is fitted on, in expectation: a bounded sample,
-#: drawn by a hash of the text.  Larger values cost more time and move the counts little.
+#: Different labelled texts per language that the model is fitted on, in expectation: a bounded
+#: sample, drawn by a hash of the text.  Copies count once, so neither the bound nor the model
+#: depends on how often a text stands in the table.
 SAMPLE_PER_LANGUAGE = 3000
 SMOOTHING = 0.5
 EM_TURNS = 12
@@ -34,10 +35,10 @@ PENALTY = 6.0
 UNDETERMINED = "und"
 
 
-@functools.lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    """Whether each code point is a letter (Unicode category L)."""
-    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+@functools.lru_cache(maxsize=2)
+def letters(kinds: str = "L") -> np.ndarray:
+    """Whether each code point is of the Unicode categories ``kinds``: letters, or with "LM" marks too."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in kinds for c in range(0x110000)), bool, 0x110000)
 
 
 def has_letter(text: str | None) -> bool:
@@ -45,9 +46,12 @@ def has_letter(text: str | None) -> bool:
 
 
 def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and counts of the letter n-grams; every run of other characters is one space."""
+    """Buckets and counts of the letter n-grams; every run of other characters is one space.
+
+    Combining marks count as letters, so vowel signs and accents do not split words.
+    """
     code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[code]
+    is_letter = letters("LM")[code]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first non-letter after a letter stands for its run
     code = np.where(is_letter, code, 32)[keep].astype(np.uint64)
@@ -62,6 +66,8 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(29)
         parts.append(h[code[:len(h)] != 32] if n == 1 else h)
     buckets = (np.concatenate(parts) % np.uint64(BUCKETS)).astype(np.int64)
+    if len(buckets) < BUCKETS // 16:
+        return np.unique(buckets, return_counts=True)
     counts = np.bincount(buckets, minlength=BUCKETS)
     found = np.flatnonzero(counts)
     return found, counts[found]
@@ -73,11 +79,15 @@ class Model:
     languages: list[str]
     log_prob: np.ndarray
 
-    def mixture(self, text: str | None) -> tuple[list[str], list[float]]:
-        """The chosen languages, largest proportion first, and their proportions."""
+    def mixture(self, text: str | None) -> tuple[list[str], list[float], float]:
+        """The chosen languages, largest first, their proportions in the chosen set, and the score.
+
+        The score is the first one's proportion; for a set of one language what the mixture of
+        all languages gave it, so that it tells a clear case from a close one.
+        """
         found, counts = ngram_counts(text)
         if not len(found) or not self.languages:
-            return [], []
+            return [], [], 0.0
         log_p = self.log_prob[found]
         top = log_p.max(axis=1, keepdims=True)
         p = np.exp(log_p - top)
@@ -108,27 +118,30 @@ class Model:
             chosen, best = (columns, own), value
         columns, own = chosen
         if len(columns) == 1:
-            # How much of the text the mixture gave to this language before the others were dropped.
-            return [self.languages[columns[0]]], [float(share[columns[0]])]
+            return [self.languages[columns[0]]], [1.0], min(1.0, float(share[columns[0]]))
         ranked = sorted(range(len(columns)), key=lambda i: (-own[i], columns[i]))
-        return [self.languages[columns[i]] for i in ranked], [float(own[i]) for i in ranked]
+        shares = [float(own[i]) for i in ranked]
+        return [self.languages[columns[i]] for i in ranked], shares, min(1.0, shares[0])
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Model from ``labelled`` (``text``, ``lang``); rows with a null in either are left out.
 
-    Fitted on an expected ``per_language`` rows of each language at most.  Tasks pre-aggregate;
-    the driver receives one row per language and bucket that occurs.  No labelled rows: a model
-    without languages, which predicts ``und`` throughout.
+    Fitted on an expected ``per_language`` different texts of each language at most, each taken
+    once however many copies it has (told apart by 64-bit hashes; copies meet in their task
+    first).  The driver receives one row per language and bucket that occurs.  No labelled rows:
+    a model without languages, which predicts ``und`` throughout.
     """
-    rows = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select("lang", "text").filter("text is not null and lang is not null") \
+        .withColumn("hash", F.xxhash64("text"))
+    size = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(size)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / size[lang])))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.filter(draw < share[F.col("lang")])
+    draw = F.pmod("hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = rows.filter(draw < share[F.col("lang")]).groupBy("lang", "hash").agg(F.min("text").alias("text")) \
+        .select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -154,8 +167,8 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` and ``languages`` of every whole text.
 
-    ``languages`` is the chosen set with proportions, largest first; ``lang_pred`` its first and
-    ``score`` the proportion of that.  Null texts and texts without a letter: ``und``, 0, empty.
+    ``languages`` is the chosen set with proportions, largest first, ``lang_pred`` its first and
+    ``score`` that of ``Model.mixture``.  Null texts and texts without a letter: ``und``, 0, empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS doubles per language
 
@@ -165,9 +178,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
         def run(texts):
             out = {"lang_pred": [], "score": [], "languages": []}
             for t in texts:
-                langs, shares = m.mixture(t) if has_letter(t) else ([], [])
+                langs, shares, score = m.mixture(t) if has_letter(t) else ([], [], 0.0)
                 out["lang_pred"].append(langs[0] if langs else UNDETERMINED)
-                out["score"].append(min(1.0, shares[0]) if langs else 0.0)
+                out["score"].append(score)
                 out["languages"].append([{"lang": a, "share": b} for a, b in zip(langs, shares)])
             return out
         return run
@@ -193,14 +206,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_determined(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
-    """The documents, all columns as they are, that have a language of at least ``min_share``.
+    """The documents, all columns as they are, in which one language reaches ``min_share``.
 
-    Rejected are texts that are null or hold no letter, and mixtures in which no language
-    reaches the share.  Learned from the documents' own ``lang`` as in ``identify``.
+    Rejected are texts that are null or hold no letter, and those whose chosen set of languages
+    has none with that share of the text; a set of one language has all of it.  Learned from the
+    documents' own ``lang`` as in ``identify``.  Where no document has a ``lang``, nothing can be
+    told apart: every text with a letter stays.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     if not model.languages:
-        return docs
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     whole = docs.select(F.struct(*docs.columns).alias("__row"), "text")
     marked = predict(whole, model, ["__row"])
-    return marked.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_share)).select("__row.*")
+    return marked.filter(F.get("languages", F.lit(0))["share"] >= min_share).select("__row.*")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.llm import language_id, license_scan, quality, secret_scan, url_filter
 from tests.llm.cases import documents, empty, frame
@@ -153,6 +154,7 @@ def test_language_edge_cases(spark):
     assert language_id.identify(empty(spark)).count() == 0
     unlabelled = frame(spark, rows, False).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
+    assert language_id.keep_determined(empty(spark)).count() == 0
 
 
 def test_mixtures_are_seen(spark):
@@ -161,6 +163,55 @@ def test_mixtures_are_seen(spark):
     by_lang = {r["lang"]: r["t"] for r in docs.groupBy("lang").agg({"text": "max"}).withColumnRenamed("max(text)", "t").collect()}
     half = model.mixture(by_lang["de"][:3000] + "\n" + by_lang["es"][:3000])
     assert set(half[0][:2]) == {"de", "es"} and abs(half[1][0] - 0.5) < 0.25
+    alone = model.mixture(by_lang["de"][:3000])
+    assert alone[0] == ["de"] and alone[1] == [1.0] and 0 < alone[2] <= 1
+
+
+def test_copies_do_not_move_the_language_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang")
+    hot = docs.filter("text is not null").limit(1).crossJoin(spark.range(500)).select("text", "lang")
+    once, often = language_id.train(docs, 20), language_id.train(docs.unionByName(hot), 20)
+    assert once.languages == often.languages and (once.log_prob == often.log_prob).all()
+    # The bound holds: counts of few texts, whatever the number of rows.
+    rows, texts = docs.filter("lang = 'en'"), docs.filter("lang = 'en'").select("text").distinct().count()
+    assert texts > 40 and language_id.train(rows, 20).languages == ["en"]
+
+
+def grams_by_hand(text):
+    """(order, letters) of every n-gram of letters and marks; other runs are one space."""
+    import unicodedata
+    out, last = " ", True
+    for c in (text or "").lower():
+        keep = unicodedata.category(c)[0] in "LM"
+        out += c if keep else "" if last else " "
+        last = not keep
+    out += " " if out != " " and not last else ""
+    if out.strip() == "":
+        return collections.Counter()
+    # A run of others after the last letter and the end are a space each.
+    out = out if last is False else out + " "
+    return collections.Counter((n, out[i:i + n]) for n in language_id.ORDERS for i in range(len(out) - n + 1)
+                               if n > 1 or out[i] != " ")
+
+
+@pytest.mark.parametrize("text", ["", "1 2", "a", "Ab c", "  x--y, ", "हिन्दी में", "e\u0301t\u0301e", "word " * 3000, "日本語 x"])
+def test_ngrams_like_those_by_hand(text):
+    found, counts = language_id.ngram_counts(text)
+    assert sorted(counts.tolist()) == sorted(grams_by_hand(text).values())
+    assert len(set(found.tolist())) == len(found)
+
+
+def test_undetermined_documents_go(spark):
+    rows = documents(spark)
+    kept = {r["doc_id"] for r in language_id.keep_determined(frame(spark, rows)).collect()}
+    marked = language_id.predict(frame(spark, rows), language_id.train(frame(spark, rows).filter(
+        ~language_id.held_out(F.col("doc_id")))), ["doc_id"]).collect()
+    assert kept == {r["doc_id"] for r in marked if r["languages"] and r["languages"][0]["share"] >= 0.5}
+    assert all(any(c.isalpha() for c in r["text"] or "") for r in rows if r["doc_id"] in kept)
+    unlabelled = frame(spark, [{**r, "lang": None} for r in rows])
+    left = language_id.keep_determined(unlabelled)
+    assert left.columns == unlabelled.columns
+    assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in rows if any(c.isalpha() for c in r["text"] or "")}
 
 
 # --- operator 6 -----------------------------------------------------------------------------
@@ -187,16 +238,40 @@ def test_quality_counts_and_verdicts(spark):
     assert rows_of(kept, "doc_id") == rows_of(got.filter("kept"), "doc_id")
 
 
+def measured_rows(spark, groups):
+    """One measured row per document of ``groups``: (lang, source) -> function of 0..n-1 and n."""
+    fields = [*quality.MEASURES, *quality.SIZES]
+    rows = [(lang, source, i % 50 == 49, *[float(of(i).get(m, 0.0)) for m in fields])
+            for (lang, source), (of, n) in groups.items() for i in range(n)]
+    return spark.createDataFrame(rows, "lang string, source string, base_failed boolean, "
+                                 + ", ".join(f"{m} double" for m in fields))
+
+
 def test_sketch_quantiles_within_their_error(spark):
-    from pyspark.sql import functions as F
-    values = spark.range(1, 2001).select(F.lit("a").alias("lang"), F.lit("b").alias("source"),
-                                         (F.col("id") / 100).alias("mean_word"),
-                                         *[F.lit(0.0).alias(m) for m in quality.MEASURES if m != "mean_word"])
-    f = quality.fences(quality.sketches(values)).first()
-    q25, q75, spread = 5.0, 15.0, quality.FENCE * 10
-    assert f["mean_word_hi"] == pytest.approx(q75 + spread + 1, rel=0.02)
-    assert f["mean_word_lo"] == pytest.approx(q25 - spread - 1, rel=0.03)
-    assert f["symbol_share_hi"] == pytest.approx(0.05)
+    sizes = {"word_chars": 600, "n_lines": 30, "n_words": 120}
+    rows = measured_rows(spark, {("a", "b"): (lambda i: {"mean_word": (i + 1) / 100, **sizes}, 2000)})
+    f = quality.fences(quality.sketches(rows)).first()
+    assert f["mean_word_hi"] == pytest.approx(15 + 5 * 10, rel=0.03)
+    assert f["mean_word_lo"] == pytest.approx(5 - 5 * 10, rel=0.03)
+    # Nothing but zeros: what a few hits are in a document of the median size.
+    assert f["symbol_share_hi"] == pytest.approx(9 / 600, rel=0.02)
+    assert f["dup_line_share_hi"] == pytest.approx(3 / 30, rel=0.02)
+    assert f["repeat_share_hi"] == pytest.approx(9 / 120, rel=0.02)
+
+
+def test_every_fence_follows_its_group(spark):
+    prose = lambda i: {"mean_word": 5 + i % 10 / 10, "word_chars": 900, "n_lines": 60, "n_words": 900,
+                       "repeat_share": i % 100 / 1000, "dup_line_share": i % 100 / 2000}
+    code = lambda i: {"mean_word": 8 + i % 10 / 2, "word_chars": 90, "n_lines": 60, "n_words": 900,
+                      "symbol_share": i % 20 / 100, "repeat_share": i % 100 / 400, "dup_line_share": i % 100 / 500}
+    few = lambda i: {**code(i), "mean_word": 90.0}
+    f = {(r["lang"], r["source"]): r for r in quality.fences(quality.sketches(measured_rows(
+        spark, {("en", "prose"): (prose, 1000), ("en", "code"): (code, 1000), ("en", "few"): (few, 20)}))).collect()}
+    for m in quality.MEASURES:
+        assert f["en", "code"][f"{m}_hi"] > 1.5 * f["en", "prose"][f"{m}_hi"], m
+    # Too few documents: the sketch of the language, in which they count too.
+    assert f["en", "prose"]["mean_word_hi"] < f["en", "few"]["mean_word_hi"]
+    assert quality.fences(quality.sketches(measured_rows(spark, {("en", "x"): (prose, 1)}).limit(0))).count() == 0
 
 
 def test_junk_goes_and_clean_stays(spark):
