@@ -7,7 +7,7 @@ each row's file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW_SCHEMA = "id string, sentiment string, text string, to_delete string"
@@ -42,15 +42,49 @@ def read_raw(spark: SparkSession, paths, quote_mode: str = "line") -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+def quoted_records(spark: SparkSession, paths) -> DataFrame:
+    """``_file, record``: the whole records of quoted files, line ends inside quotes included.
+
+    Every file is read by as many tasks as it has splits.  A line's quotes say whether it turns
+    the quoting on or off; each split's sum is composed over the splits before it (one row per
+    split), so a line knows whether it starts inside quotes.  Lines that are records of their own
+    are done; only the lines of longer records, which may cross splits, meet by record.  Files
+    must be well formed: quotes stand around fields, and doubled inside them.  A record left open
+    at the end of a file runs to its end.  Blank lines between records are no records.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("value").alias("line"), *file_order()) \
+        .withColumn("odd", F.length(F.regexp_replace("line", '[^"]', "")) % 2)
+    split = Window.partitionBy("_file", "_start")
+    before = F.sum("odd").over(split.orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("before", F.coalesce(before, F.lit(0)))
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    turns = lines.groupBy("_file", "_start").agg(F.sum("odd").alias("odd")) \
+        .select("_file", "_start", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("carried"))
+    lines = lines.join(turns, ["_file", "_start"]).withColumn("inside", (F.col("carried") + F.col("before")) % 2)
+    whole = lines.filter("inside = 0 and odd = 0").select("_file", F.col("line").alias("record"))
+    # Of the lines of longer records, the first turns quoting on and the last turns it off: the turns
+    # up to and with the first line, halved, number the record.
+    number = F.floor((F.col("carried") + F.col("before") + F.when(F.col("inside") == 0, 1).otherwise(0)) / 2 + F.lit(0.5))
+    parts = lines.filter("inside = 1 or odd = 1").groupBy("_file", number.alias("number")) \
+        .agg(F.array_sort(F.collect_list(F.struct("_start", "_row", "line"))).alias("lines"))
+    joined = parts.select("_file", F.array_join("lines.line", "\n").alias("record"))
+    return whole.unionByName(joined).select("_file", F.regexp_replace("record", "\r$", "").alias("record")).filter("record <> ''")
+
+
+def read_labelled(spark: SparkSession, path: str, splittable: bool = True) -> DataFrame:
     """A3: the processed labelled table (index, label, text; all quoted, BOM).
 
-    Fields may hold line ends, so a file is one record stream; write many
-    files to read them in parallel (``write_labelled`` does).
+    Fields may hold line ends.  ``splittable`` (default): many tasks read one file
+    (``quoted_records``).  Otherwise a file is one record stream of one task, which also
+    takes files with quotes elsewhere than around fields.
     """
-    df = (spark.read.schema("_pos string, label string, text string").option("quote", '"').option("escape", '"')
-          .option("multiLine", True).option("header", False).csv(path))
-    # a BOM in front of the first field of a file also hides its quotes
+    schema, quoting = "_pos string, label string, text string", {"quote": '"', "escape": '"'}
+    if splittable:
+        # a BOM in front of the first field of a file would hide its quotes
+        record = F.regexp_replace("record", "^" + BOM, "")
+        df = quoted_records(spark, path).select(F.from_csv(record, schema, quoting).alias("r")).select("r.*")
+    else:
+        df = spark.read.schema(schema).options(**quoting, multiLine=True, header=False).csv(path)
     pos = F.regexp_replace("_pos", f'[{BOM}"]', "").cast("long")
     return df.select(pos.alias("doc_pos"), "label", "text")
 

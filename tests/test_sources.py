@@ -124,3 +124,25 @@ def test_labels_join_only_equal_counts(spark, tmp_path):
     except ValueError:
         return
     raise AssertionError("unequal counts must not be joined")
+
+
+def test_quoted_files_split(spark, tmp_path):
+    texts = ["plain", "two\nlines", 'a ""quoted"" word', "comma, here", "three\n\nblank\nlines", '""', "\n", "tab\tx",
+             "é 日本", '""\n""', "ends with quote\"\"", "x" * 300]
+    rows = [(i, ["positive", "negative"][i % 2], texts[i % len(texts)]) for i in range(600)]
+    for name, n, end in (("a.csv", 600, "\n"), ("b.csv", 7, ""), ("c.csv", 0, "")):
+        body = "\n".join(f'"{i}","{label}","{text}"' for i, label, text in rows[:n]) + end
+        (tmp_path / name).write_text(raw.BOM + body if n else "", encoding="utf-8")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # records of many sizes cross splits
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = [tuple(r) for r in raw.read_labelled(spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    want = [(i, label, text.replace('""', '"')) for n in (600, 7) for i, label, text in rows[:n]]
+    assert sorted(got) == sorted(want)
+    one = [tuple(r) for r in raw.read_labelled(spark, str(tmp_path), splittable=False).collect()]
+    assert sorted(got) == sorted(one)
