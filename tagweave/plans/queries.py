@@ -498,6 +498,15 @@ def q_maxent_predict(spark, sf_dir):
     return M.predict(model, test)
 
 
+def q_maxent_table_predict(spark, sf_dir):
+    """The model of ``maxent_predict`` fitted and applied as a table of term weights."""
+    from ..operators import term_model as T
+    train, test = _splits(spark, sf_dir)
+    model = T.fit(train, WEIGHTS, N_DELETE, FUSED_BLOCKS)
+    _release(train, test)
+    return T.predict(model, test)
+
+
 def _baseline_report(kind):
     def q(spark, sf_dir):
         from ..operators import models as M
@@ -645,6 +654,7 @@ QUERIES = {
     "saved_runs": q_saved_runs,
     # rows-only
     "maxent_predict": q_maxent_predict,
+    "maxent_table_predict": q_maxent_table_predict,
     "baseline_bow": _baseline_report("bow"),
     "baseline_tfidf": _baseline_report("tfidf"),
     "grid_search": q_grid_search,
