@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..functions.udfs import decode_escapes, html_unescape
+from ..functions.escapes import decode_entities
 from ..operators import sampling as S
 from ..operators import tagging as T
 from ..sources.tables import labelled_documents
@@ -20,20 +20,6 @@ DEFAULT_GROUPS = {"A": ["A"], "V": ["V"], "R": ["R"], "N": ["N"]}
 DEFAULT_WEIGHTS = {"A": 4, "V": 2, "R": 1, "N": 1}
 
 
-def decode_entities(text: Column) -> Column:
-    """H2 with the Python UDF fed only the rows that hold an entity-like
-    ``&``: other rows travel to Python as NULL, so the Arrow traffic and the
-    Python work scale with the rows that need decoding, not with the table."""
-    needs = text.rlike("&[#A-Za-z]")
-    return F.coalesce(html_unescape(F.when(needs, text)), text)
-
-
-def repair_escapes(text: Column) -> Column:
-    """H13 with the same NULL-masking as ``decode_entities``."""
-    needs = text.rlike(r"\\[uUx]")
-    return F.coalesce(decode_escapes(F.when(needs, text)), text)
-
-
 def filtered_corpus(docs: DataFrame, text: str = "text", dedupe_key: Column | None = None,
                     decode: bool = True) -> DataFrame:
     """B1 -> E1 -> H1 -> H2 (the reference's filter step) on any

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import cleaning as C
 from ..functions import patterns as P
-from ..functions.udfs import sql_unescape_entities
+from ..functions.escapes import sql_unescape_entities
 from ..sources.tables import SQL_LABEL
 
 

@@ -6,7 +6,7 @@ import re
 
 from ..functions import cleaning as C
 from ..functions import patterns as P
-from ..functions.udfs import ENTITY_SAMPLE, ESCAPE_SAMPLE, sql_unescape_entities
+from ..functions.escapes import ENTITY_SAMPLE, ESCAPE_SAMPLE, sql_unescape_entities
 from . import oracle_sql as O
 from ..functions import naming as NM
 from ..operators import search as R

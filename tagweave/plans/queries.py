@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..functions.udfs import ENTITY_SAMPLE, ESCAPE_SAMPLE
+from ..functions.escapes import ENTITY_SAMPLE, ESCAPE_SAMPLE, decode_entities, repair_escapes
 from ..operators import longform as L
 from ..operators import sampling as S
 from ..operators import evaluate as V
@@ -82,7 +82,7 @@ def q_entity_decode(spark, sf_dir):
     """H2, the full decoder, on the pages with named, decimal and hex
     references put between their words."""
     html = F.replace("html", F.lit(" the "), F.lit(ENTITY_SAMPLE[0]))
-    return table(spark, sf_dir, "pages").select("page_id", K.decode_entities(html).alias("text_out"))
+    return table(spark, sf_dir, "pages").select("page_id", decode_entities(html).alias("text_out"))
 
 
 def q_clean_url(spark, sf_dir):
@@ -583,7 +583,7 @@ def q_unicode_repair(spark, sf_dir):
     """H13 on the conversation texts with escapes of every kind put between
     their words."""
     text = F.replace("text", F.lit(" the "), F.lit(ESCAPE_SAMPLE[0]))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", K.repair_escapes(text).alias("text_out"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", repair_escapes(text).alias("text_out"))
 
 
 QUERIES = {

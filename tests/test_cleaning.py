@@ -1,9 +1,15 @@
 """Golden cases of the cleaning chain (FIXTURES.md section 3)."""
 
+import html
+import random
+import re
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import cleaning as C
+from tagweave.functions.escapes import decode_entities, repair_escapes
 
 CASES = [
     ("mail a.b@c.org now", "mail email@genericuser.com now"),
@@ -54,13 +60,41 @@ def test_python_whitespace_semantics(spark):
     assert _run(spark, [text], C.normalise_whitespace) == [" ".join(text.split())]
 
 
-def test_html_unescape_udf(spark):
-    from tagweave.plans.corpus import decode_entities
-    got = _run(spark, ["a &amp; b &lt;x&gt; &copy; &#39;q&#39;", "plain && text"], decode_entities)
-    assert got == ["a & b <x> © 'q'", "plain && text"]
+def _decoded(spark, texts, fn):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", fn(F.col("s")).alias("s"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    return [r["s"] for r in df.orderBy("i").collect()]
+
+
+def test_decode_entities_small(spark):
+    got = _decoded(spark, ["a &amp; b &lt;x&gt; &copy; &#39;q&#39;", "plain && text", "", None, "&", "&amp;lt; &amp"], decode_entities)
+    assert got == ["a & b <x> © 'q'", "plain && text", "", None, "&", "&lt; &"]
+
+
+def test_decode_entities_equals_the_standard_library(spark):
+    """All names, with and without a semicolon and followed by letters; numbers of every kind; random mixtures."""
+    texts = [f"{a}&{n}{b}" for n in html5 for a, b in (("", ""), ("x", "y"), ("&", " z;"))]
+    texts += [f"&{n.rstrip(';')}" for n in html5]
+    numbers = [*range(0, 0x300), *range(0xD7F0, 0xD810), *range(0xDFF0, 0xE010), *range(0xFDC0, 0x10010), 0x1F600, 0x1FFFE,
+               0x10FFFD, 0x10FFFE, 0x10FFFF, 0x110000, 0xFEFF, 10**8, 10**20]
+    texts += [f"a&#{n};b&#x{n:x}c&#X{n:X};&#000{n} " for n in numbers]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(["&", "#", "x", "lt", "amp", ";", "38", "é", "😀", "not", "in", " ", "\n", "<", "A"])
+                      for _ in range(40)) for _ in range(2000)]
+    got = _decoded(spark, texts, decode_entities)
+    wrong = [(t, g, html.unescape(t)) for t, g in zip(texts, got) if g != html.unescape(t)]
+    assert not wrong, wrong[:5]
+
+
+def test_repair_escapes_keeps_non_ascii(spark):
+    got = _decoded(spark, ["caf\\u00e9 und über \\x41", "nothing", None, "", "\\", "\\\\u0041\\U0001F600\\n\\x4",
+                           "\\ud83d\\ude00 \\U00110000 \\ufeff|\\x00|"], repair_escapes)
+    assert got == ["café und über A", "nothing", None, "", "\\", "\\A😀\\n\\x4", "\\ud83d\\ude00 \\U00110000 \ufeff|\0|"]
 
 
-def test_decode_escapes_keeps_non_ascii(spark):
-    from tagweave.plans.corpus import repair_escapes
-    got = _run(spark, ["caf\\u00e9 und über \\x41", "nothing"], repair_escapes)
-    assert got == ["café und über A", "nothing"]
+def test_repair_escapes_equals_a_plain_loop(spark):
+    pattern = re.compile(r"\\(u[0-9a-fA-F]{4}|U000[0-9a-fA-F]{5}|x[0-9a-fA-F]{2})")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["\\", "u", "U", "x", "0", "00", "41", "e9", "é", "😀", " ", "\n"]) for _ in range(40))
+             for _ in range(2000)]
+    assert _decoded(spark, texts, repair_escapes) == [pattern.sub(lambda m: chr(int(m[1][1:], 16)), t) for t in texts]
