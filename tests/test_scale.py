@@ -36,3 +36,30 @@ def test_a_task_hands_on_one_sum_per_document():
     assert batch["doc_id"].to_pylist() == [1, 2, 3]
     assert [np.frombuffer(x).tolist() for x in batch["dots"].to_pylist()] == [[1225.0, 1225.0]] * 3
     assert not list(held.batches())
+
+
+def test_weight_grids_make_no_row_per_weighting(monkeypatch):
+    """The grids of both scales go through the shared passes."""
+    def never(*args, **kwargs):
+        raise AssertionError("one row per weighting and term")
+
+    called = []
+    monkeypatch.setattr(Q.V, "grid_values", never)
+    monkeypatch.setattr(Q.L, "ocfs_grid", never)
+    monkeypatch.setattr(Q, "prepared", lambda spark, sf_dir: None)
+    monkeypatch.setattr(Q.L, "class_sizes", lambda docs: {})
+
+    class Passes(Exception):
+        pass
+
+    def passes(docs, combos, groups, sizes):
+        called.append(len(combos))
+        raise Passes
+
+    monkeypatch.setattr(Q.W, "in_passes", passes)
+    for query in (Q.q_weight_grid, Q.q_ocfs_grid):
+        try:
+            query(None, "")
+        except Passes:
+            pass
+    assert called == [len(Q.GRID)] * 2
