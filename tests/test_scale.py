@@ -38,6 +38,15 @@ def test_a_task_hands_on_one_sum_per_document():
     assert not list(held.batches())
 
 
+def test_idf_counts_runs_instead_of_comparing_all_pairs(spark):
+    a, b = ("a", "N"), ("b", "V")
+    docs = spark.createDataFrame([(1, "train", [a, b, a, None]), (2, "train", [a]), (3, "test", [b]), (4, "train", None), (5, "train", [])],
+                                 "doc_id long, split string, terms array<struct<word:string,grp:string>>")
+    got = L.idf(docs)
+    assert {(r["word"], r["grp"]): r["df"] for r in got.collect()} == {a: 2, b: 1}
+    assert "array_distinct" not in got._jdf.queryExecution().toString()
+
+
 def test_weight_grids_make_no_row_per_weighting(monkeypatch):
     """The grids of both scales go through the shared passes."""
     def never(*args, **kwargs):
