@@ -47,6 +47,10 @@ def test_idf_counts_runs_instead_of_comparing_all_pairs(spark):
     assert "array_distinct" not in got._jdf.queryExecution().toString()
 
 
+def test_the_cleaning_chain_does_not_repeat_itself():
+    assert len(str(C.clean_text(F.col("text")))) < 20_000
+
+
 def test_weight_grids_make_no_row_per_weighting(monkeypatch):
     """The grids of both scales go through the shared passes."""
     def never(*args, **kwargs):
