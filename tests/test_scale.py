@@ -76,3 +76,19 @@ def test_weight_grids_make_no_row_per_weighting(monkeypatch):
         except Passes:
             pass
     assert called == [len(Q.GRID)] * 2
+
+
+def test_distances_leave_as_many_tasks_as_run_at_a_time(spark, monkeypatch):
+    """What is handed on grows with the documents, not with the tasks the term rows lie in; ranges of documents change nothing."""
+    terms = [(f"w{i % 17}", "N") for i in range(40)]
+    docs = spark.createDataFrame([(i, "negative positive".split()[i % 2], "train", terms[i % 23:]) for i in range(30)],
+                                 "doc_id long, label string, split string, terms array<struct<word:string,grp:string>>")
+    rows = W.term_rows(docs, ["N"], ["negative", "positive"]).repartition(16, "word")
+    w = W.Weightings(docs, [{"N": 1}], ["N"], {"negative": 15, "positive": 15}, rows.localCheckpoint())
+    cut = np.zeros(1)
+    want = w.confusions(cut).orderBy("label", "prediction").collect()
+    assert w._dots(cut, 2, 1, 0).count() <= 2 * 30
+    assert sum(w._dots(cut, 2, 5, i).count() for i in range(5)) <= 2 * 30
+    monkeypatch.setattr(W, "DOT_BYTES", 64)
+    monkeypatch.setattr(W, "DOT_TASKS", 2)
+    assert w.confusions(cut).orderBy("label", "prediction").collect() == want
