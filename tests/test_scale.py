@@ -92,3 +92,24 @@ def test_distances_leave_as_many_tasks_as_run_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(W, "DOT_BYTES", 64)
     monkeypatch.setattr(W, "DOT_TASKS", 2)
     assert w.confusions(cut).orderBy("label", "prediction").collect() == want
+
+
+def test_rows_of_a_batch_are_views_that_are_let_go():
+    """A task holds a batch once, and none while it waits for the next."""
+    import gc
+    import weakref
+    rows = np.stack([np.arange(50), np.ones(50), np.ones(50), np.full(50, 4)]).astype(np.int64)
+    open_batches = []
+
+    def batches():
+        for i in range(3):
+            gc.collect()
+            assert not [r for r in open_batches if r() is not None]
+            batch = pa.RecordBatch.from_pydict({"word": [f"w{i}", f"x{i}"], "grp": ["N", "N"], "part": pa.array([-1, -1], pa.int32()),
+                                                "n_train": [50, 50], "rows": pa.array([rows.tobytes()] * 2, pa.binary())})
+            open_batches.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    got = [t.word for t in W._terms(batches(), ["N"], W.Setting(np.array([[1.0]]), np.array([50.0]), ["x"]), None)]
+    assert got == [["w0", "x0"], ["w1", "x1"], ["w2", "x2"]]
